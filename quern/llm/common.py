@@ -26,6 +26,11 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: a lambda that names a column runs what the column is made of each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

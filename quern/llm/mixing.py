@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import words_of, written
+from quern.llm.common import let, words_of, written
 
 ROUNDS = 24
 
@@ -47,13 +47,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
 
 
 def permuted(at: Column, size: Column, seed: Column) -> Column:
-    """A pseudorandom permutation of range(size), applied to `at` (swap-or-not rounds); give plain columns."""
+    """A pseudorandom permutation of range(size), applied to `at` (swap-or-not rounds)."""
 
-    def one_round(x: Column, k: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(seed, k), size) - x, size)
-        return F.when(F.xxhash64(seed, -1 - k, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
+    def shuffle(v: Column) -> Column:
+        def one_round(x: Column, k: Column) -> Column:
+            other = F.pmod(F.pmod(F.xxhash64(v["seed"], k), v["size"]) - x, v["size"])
+            return let(other, lambda o: F.when(F.xxhash64(v["seed"], -1 - k, F.greatest(x, o)) % 2 == 0, o).otherwise(x))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), at, one_round)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), v["at"], one_round)
+
+    return let(F.struct(at.alias("at"), size.alias("size"), seed.alias("seed")), shuffle)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 128, shards: int = 64, cells: int = 1024, seed: int = 0) -> DataFrame:
@@ -98,7 +101,7 @@ def draws(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     slots = spark.range(n).select(F.col("id").alias("slot"), F.expr(f"cast(id * {shards} div {max(n, 1)} as int)").alias("shard"))
     slots = slots.withColumn("dealt", permuted(F.col("slot"), F.lit(max(n, 1)).cast("long"), F.lit(seed).cast("long")))
     listed = lambda k: F.array(*(F.lit(r[k]).cast("long") for r in rows)).cast("array<bigint>")
-    slots = slots.withColumn("i", F.size(F.filter(listed("slots_to"), lambda x: x <= F.col("dealt"))) + 1)
+    slots = slots.withColumn("i", let(F.col("dealt"), lambda d: F.size(F.filter(listed("slots_to"), lambda x: x <= d)) + 1))
     slots = slots.select("slot", "shard", "dealt", F.element_at(listed("rank"), F.col("i")).cast("int").alias("rank"), F.element_at(listed("n_blocks"), F.col("i")).alias("n_blocks"), (F.col("dealt") - F.element_at(listed("slots_to"), F.col("i")) + F.element_at(listed("n_slots"), F.col("i"))).alias("own"))
     slots = slots.withColumns({"turn": F.col("own") % F.col("n_blocks"), "order": F.xxhash64(F.lit(seed), "rank")})
     return slots.select("slot", "shard", "rank", permuted(F.col("turn"), F.col("n_blocks"), F.col("order")).alias("block"))
