@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import table
+from quern.llm.decontaminate import decontaminate
 from quern.llm.mixing import mix
+from quern.llm.near_dup import near_duplicates
 from quern.llm.secrets import BASE_KINDS, scan_secrets
 from quern.llm.sharding import shard
 from quern.llm.weak_rules import quality_rules
@@ -20,6 +22,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", (~F.col("contaminated")).alias("kept"), "item_id", "n_items", "n_windows", "reparameterised")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -32,5 +44,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_mix_sources, op9_secret_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_mix_sources, op6_near_duplicates, op7_decontaminate, op9_secret_scan, op10_sharding)}
 ORACLE: dict[str, str] = {}
