@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts and benchmark items become templates: numbers, names (capitalised words inside a sentence) and units after a
-number turn into typed placeholders, all other tokens into lower case. Hashes of template windows are joined. Windows
+Texts and benchmark items become templates: numbers, names (words with a capital) and units turn into typed
+placeholders, all other words into lower case. Hashes of template windows are joined. Windows
 of one document and item on one diagonal (the same shift) form an alignment; it counts if it holds enough windows and
 its slots are consistent: the same value in the item always meets the same value in the document. So a question is
 found again with other numbers and names, while a chance match of a frame with unrelated fillings is not.
@@ -20,41 +20,47 @@ documents gives an empty result; with an empty benchmark every document is kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import BLANK_RUN, written
 
-# Units of measure, currency and time, in lower case; they count as units after a number only.
+# Units of measure, currency and time in lower case, without those that are also common words.
 UNITS = (
-    "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz pound pounds ounce ounces ton tons "
-    "ml cl dl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks "
-    "month months year years percent pct degree degrees c f k v w kw kwh mb gb tb hz khz mhz ghz mph kmh dollar dollars euro euros cent cents usd eur gbp"
+    "mm cm dm km inch inches ft feet yd yard yards mile miles mg kg lb lbs oz pound pounds ounce ounces ton tons "
+    "ml cl dl liter liters litre litres gallon gallons sec second seconds minute minutes hr hour hours day days week weeks "
+    "month months year years percent pct degree degrees kw kwh mb gb tb hz khz mhz ghz mph kmh dollar dollars euro euros cent cents usd eur gbp"
 ).split()
+# Marks that are dropped.
+MARKS = ".!?,;:\"'()[]{}#*$%&<>|"
+
+
+def with_tokens(df: DataFrame) -> DataFrame:
+    """df(text) with tok and low: words without MARKS, as written and in lower case; empty ones at an end are harmless."""
+    df = df.withColumn("_t", F.translate(F.coalesce("text", F.lit("")), MARKS, ""))
+    return df.withColumns({"tok": F.split("_t", BLANK_RUN), "low": F.split(F.lower("_t"), BLANK_RUN)}).withColumn("n_tok", F.size("tok")).drop("_t")
 
-OPENING = "␟"  # stands before a capital that opens a sentence
 
+def template(use: Callable[[Column], Column] = lambda x: x) -> Column:
+    """use(placeholder or lower-case word) for each word of tok and low.
 
-def tokens(text: Column) -> Column:
-    """Letter and digit runs; 3.5 and 1,000 stay whole, and a capital that opens a sentence is marked."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,](?=[0-9])", "_")
-    t = F.regexp_replace(t, r"(^|[.!?\n][\s\"']*)(?=\p{Lu})", f"$1{OPENING}")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}_{OPENING}]+"), lambda x: x != "")
+    A capital marks a name, unless all letters are capitals: shouted words are words.
+    """
 
+    def kind(word: Column, low: Column) -> Column:
+        return use(F.when(word != low, F.when(word == F.upper(word), low).otherwise("<name>")).when((low >= "0") & (low < ":"), "<num>").when(low.isin(*UNITS), "<unit>").otherwise(low))
 
-def with_template(df: DataFrame) -> DataFrame:
-    """df(text) with columns tok, n_tok and tpl. One column a step: an array used twice is then worked out once."""
-    kind = lambda x: F.when((x >= "0") & (x < ":"), "<num>").when(x.startswith(OPENING), F.lower(F.substring(x, 2, 1 << 20))).when(x == F.lower(x), x).otherwise("<name>")
-    df = df.withColumn("tok", tokens(F.col("text"))).withColumn("n_tok", F.size("tok"))
-    df = df.withColumn("tpl", F.transform("tok", kind))
-    rest = F.greatest(F.col("n_tok") - 1, F.lit(0))
-    unit = lambda p, x: F.when((p == "<num>") & x.isin(*UNITS), "<unit>").otherwise(x)
-    return df.withColumn("tpl", F.concat(F.slice("tpl", 1, 1), F.zip_with(F.slice("tpl", 1, rest), F.slice("tpl", 2, rest), unit)))
+    return F.zip_with("tok", "low", kind)
 
 
 def with_windows(df: DataFrame, window: int) -> DataFrame:
-    """df(tpl, n_tok) with win: hashes of all windows of `window` (a power of two) tokens, by doubling."""
-    df = df.withColumn("win", F.transform("tpl", lambda x: F.xxhash64(x)))
+    """df(tok, low, n_tok) with win: hashes of all template windows of `window` (a power of two) tokens, by doubling.
+
+    Explode win with posexplode_outer: the plain form adds a filter that would work all steps out once more.
+    """
+    df = df.withColumn("win", template(lambda x: F.xxhash64(x)))
     width = 1
     while width < window:
         n = F.greatest(F.col("n_tok") - 2 * width + 1, F.lit(0))
@@ -66,13 +72,13 @@ def with_windows(df: DataFrame, window: int) -> DataFrame:
 def _hits(docs: DataFrame, items: DataFrame, window: int, need: int, broadcast_rows: int) -> DataFrame:
     """Alignments (doc_id, text_key, item_id, shift, first, last, n_windows) with enough windows."""
     literal = F.size(F.filter(F.slice(F.col("tpl"), F.col("ipos") + 1, window), lambda x: ~x.isin("<num>", "<name>", "<unit>")))
-    wins = with_windows(items, window).select("item_id", "tpl", F.greatest(F.col("n_tok") - window + 1, F.lit(0)).alias("n_item"), F.posexplode("win").alias("ipos", "win"))
+    wins = with_windows(items, window).select("item_id", "tpl", F.greatest(F.col("n_tok") - window + 1, F.lit(0)).alias("n_item"), F.posexplode_outer("win").alias("ipos", "win"))
     wins = written(wins.where(literal >= window // 2).select("item_id", "n_item", "ipos", "win"), "windows")
     n = wins.count()
     if not n:
         return None
     wins = F.broadcast(wins) if n <= broadcast_rows else wins
-    found = with_windows(docs, window).select("doc_id", "text_key", F.posexplode("win").alias("pos", "win")).join(wins, "win")
+    found = with_windows(docs, window).select("doc_id", "text_key", F.posexplode_outer("win").alias("pos", "win")).join(wins, "win")
     found = found.select("doc_id", "text_key", "item_id", "n_item", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
     found = found.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.min("ipos").alias("first"), (F.max("ipos") + window - 1).alias("last"), F.count("*").alias("n_windows"), F.max("n_item").alias("n_item"))
     return found.where(F.col("n_windows") >= F.least(F.lit(need), "n_item")).drop("n_item")
@@ -81,9 +87,9 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, need: int, broadcast_r
 def leaks(docs: DataFrame, items: DataFrame, window: int = 8, least_tokens: int = 4, need: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) to alignments with column same (no slot differs); inconsistent ones are left out."""
     items = items.select("item_id", "text").where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = written(with_template(items).select("item_id", "tok", "tpl", "n_tok"), "items")
+    items = written(with_tokens(items).select("item_id", "tok", "low", template().alias("tpl"), "n_tok"), "items")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    made = with_template(keyed.where("text is not null")).select("doc_id", "text_key", "tpl", "n_tok")
+    made = with_tokens(keyed.where("text is not null")).select("doc_id", "text_key", "tok", "low", "n_tok")
     long_ones = _hits(made, items.where(F.col("n_tok") >= window), window, need, broadcast_rows)
     short_ones = _hits(made, items.where((F.col("n_tok") < window) & (F.col("n_tok") >= least_tokens)), least_tokens, window, broadcast_rows)
     both = [x for x in (long_ones, short_ones) if x is not None]
@@ -93,14 +99,13 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 8, least_tokens: int
     # slot values of the aligned parts, from the documents found only
     hits = found.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     at = keyed.where("text is not null").join(F.broadcast(hits) if few else hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).drop("d", "k")
-    at = at.withColumn("dtok", tokens(F.col("text"))).drop("text")
-    own = items.select(F.col("item_id").alias("i"), "tok", "tpl")
+    at = with_tokens(at).withColumnRenamed("low", "dtok").drop("text", "tok", "n_tok")
+    own = items.select(F.col("item_id").alias("i"), F.col("low").alias("tok"), "tpl")
     at = at.join(own, F.col("item_id") == F.col("i")).drop("i")
     span = F.col("last") - F.col("first") + 1
-    bare = lambda x: F.lower(F.translate(x, OPENING, ""))
     cut = lambda c, shift: F.slice(F.col(c), F.col("first") + shift + 1, span)
     slots = F.filter(
-        F.zip_with(F.arrays_zip(cut("tpl", F.lit(0)).alias("t"), F.transform(cut("tok", F.lit(0)), bare).alias("i")), F.transform(cut("dtok", F.col("shift")), bare), lambda a, d: F.struct(a["t"].alias("t"), a["i"].alias("i"), d.alias("d"))),
+        F.zip_with(F.arrays_zip(cut("tpl", F.lit(0)).alias("t"), cut("tok", F.lit(0)).alias("i")), cut("dtok", F.col("shift")), lambda a, d: F.struct(a["t"].alias("t"), a["i"].alias("i"), d.alias("d"))),
         lambda s: s["t"].startswith("<"),
     )
     at = at.withColumn("slots", F.array_distinct(slots)).drop("tok", "tpl", "dtok")
