@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table
 from quern.llm.decontaminate import decontaminate
+from quern.llm.gam import held_out, score_documents, train
 from quern.llm.mixing import mix
 from quern.llm.near_dup import near_duplicates
 from quern.llm.secrets import BASE_KINDS, scan_secrets
@@ -18,6 +19,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,5 +51,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_mix_sources, op6_near_duplicates, op7_decontaminate, op9_secret_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_quality_classifier, op5_mix_sources, op6_near_duplicates, op7_decontaminate, op9_secret_scan, op10_sharding)}
 ORACLE: dict[str, str] = {}
