@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that written() has made so far. Call it once what was built on them is stored."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Yields a list that then holds the paths of the tables which written() made inside."""
+    before, paths = len(_written), []
+    try:
+        yield paths
+    finally:
+        paths += _written[before:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes such tables. Call it once what was built on them is stored."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -124,3 +124,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     docs = docs.drop("item_id", "n_items", "n_windows", "reparameterised", "contaminated")
     out = docs.join(flags, docs["doc_id"].eqNullSafe(flags["_d"]) & (F.xxhash64(docs["text"]) == flags["_k"]), "left")
     return out.withColumns({"contaminated": F.col("_k").isNotNull(), "n_items": F.coalesce("n_items", F.lit(0)), "n_windows": F.coalesce("n_windows", F.lit(0)), "reparameterised": F.coalesce("reparameterised", F.lit(False))}).drop("_d", "_k")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item."""
+    found = leaks(docs, items, **limits).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak_id"]) & (F.xxhash64(docs["text"]) == found["_leak_key"]), "left_anti")

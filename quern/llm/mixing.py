@@ -105,3 +105,17 @@ def draws(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     slots = slots.select("slot", "shard", "dealt", F.element_at(listed("rank"), F.col("i")).cast("int").alias("rank"), F.element_at(listed("n_blocks"), F.col("i")).alias("n_blocks"), (F.col("dealt") - F.element_at(listed("slots_to"), F.col("i")) + F.element_at(listed("n_slots"), F.col("i"))).alias("own"))
     slots = slots.withColumns({"turn": F.col("own") % F.col("n_blocks"), "order": F.xxhash64(F.lit(seed), "rank")})
     return slots.select("slot", "shard", "rank", permuted(F.col("turn"), F.col("n_blocks"), F.col("order")).alias("block"))
+
+
+def mixed(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
+    """The mix as documents: the rows of docs, with all their columns, each as often as the drawn blocks take it.
+
+    A document of which 1.3 times its words are taken comes once or, at odds of 0.3 by a hash, twice. Rows that share
+    doc_id and source come equally often.
+    """
+    rates = mix(docs, seed=seed, **settings).groupBy("doc_id", "source").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_rate"))
+    rates = rates.withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source"})
+    both = docs.join(rates, docs["doc_id"].eqNullSafe(rates["_mix_id"]) & docs["source"].eqNullSafe(rates["_mix_source"]))
+    chance = F.pmod(F.xxhash64(docs["doc_id"], F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(1 << 20)
+    both = both.withColumn("_copies", F.floor(F.col("_rate") + chance).cast("int")).where("_copies > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
