@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 from quern.llm.common import table
 from quern.llm.decontaminate import decontaminate
 from quern.llm.gam import held_out, score_documents, train
+from quern.llm.language import identify
 from quern.llm.mixing import mix
 from quern.llm.near_dup import near_duplicates
+from quern.llm.passages import drop_repeats
+from quern.llm.prefix_tree import digests, prefix_tree, read_back
 from quern.llm.secrets import BASE_KINDS, scan_secrets
 from quern.llm.sharding import shard
 from quern.llm.weak_rules import quality_rules
 
 
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    return digests(read_back(*prefix_tree(turns.unionByName(own))))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["words"])
+    return done.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"), spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +56,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", (~F.col("contaminated")).alias("kept"), "item_id", "n_items", "n_windows", "reparameterised")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -51,5 +72,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_quality_classifier, op5_mix_sources, op6_near_duplicates, op7_decontaminate, op9_secret_scan, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_prefix_tree, op2_quality_rules, op3_passage_dedup, op4_quality_classifier, op5_mix_sources,
+        op6_near_duplicates, op7_decontaminate, op8_language_id, op9_secret_scan, op10_sharding,
+    )
+}
+
 ORACLE: dict[str, str] = {}
+
+#: The formatted length counts each backslash, ### and </turn> of a text with the backslash before it, and the marks around.
+ORACLE["op1_chat_prefix_tree"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\'), '###', '\###'), '</turn>', '\</turn>')) + length(role) + length('### : </turn>') + 1 AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
