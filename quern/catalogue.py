@@ -1,4 +1,6 @@
 """All queries of the library by name, and the SQL that each is checked against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quern.plans import kv, search, service  # noqa: F401
+from quern.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

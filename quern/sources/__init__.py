@@ -1 +1 @@
-
+"""Readers and writers of the binary log and table formats."""
