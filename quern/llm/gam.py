@@ -72,7 +72,9 @@ class Model:
 
 
 def _edges(x: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(x, np.arange(1, bins) / bins))
+    """Quantiles of the values, and of the distinct values: so rare ones beyond a common value get bins too."""
+    at = np.arange(1, bins) / bins
+    return np.unique(np.concatenate([np.quantile(x, at), np.quantile(np.unique(x), at)]))
 
 
 def _gain(g, h, ridge):
@@ -118,7 +120,7 @@ def _corner(g: np.ndarray, h: np.ndarray, ridge: float, least: float) -> tuple[f
     return best, out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30, n_pairs: int = 6, bins: int = 32, pair_bins: int = 8, leaves: int = 3, rate: float = 0.1, ridge: float = 1.0, least: float = 0.5) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 250, pair_rounds: int = 30, n_pairs: int = 6, bins: int = 32, pair_bins: int = 8, leaves: int = 3, rate: float = 0.1, ridge: float = 1.0, least: float = 0.5) -> Model:
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     model = Model(float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
