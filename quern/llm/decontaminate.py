@@ -117,13 +117,16 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 8, least_tokens: int
 def decontaminate(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """docs with columns contaminated, item_id (the smallest found), n_items, n_windows and reparameterised (only found with other values).
 
-    Input columns of these names, or named text_key, are replaced. limits: as for leaks().
+    Input columns of these names are replaced. limits: as for leaks().
     """
     flags = leaks(docs, items, **limits).groupBy("doc_id", "text_key").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"), F.sum("n_windows").alias("n_windows"), F.bool_and(~F.col("same")).alias("reparameterised"))
-    flags = flags.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
-    docs = docs.drop("item_id", "n_items", "n_windows", "reparameterised", "contaminated")
-    out = docs.join(flags, docs["doc_id"].eqNullSafe(flags["_d"]) & (F.xxhash64(docs["text"]) == flags["_k"]), "left")
-    return out.withColumns({"contaminated": F.col("_k").isNotNull(), "n_items": F.coalesce("n_items", F.lit(0)), "n_windows": F.coalesce("n_windows", F.lit(0)), "reparameterised": F.coalesce("reparameterised", F.lit(False))}).drop("_d", "_k")
+    flags = flags.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+    made = ["contaminated", "item_id", "n_items", "n_windows", "reparameterised"]
+    kept = [c for c in docs.columns if c not in made]
+    rows = docs.select(F.struct(*(docs[c] for c in kept)).alias("row"))  # so no name of docs meets those made here
+    out = rows.join(flags, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("key")), "left")
+    fill = {"contaminated": F.col("key").isNotNull(), "n_items": F.coalesce("n_items", F.lit(0)), "n_windows": F.coalesce("n_windows", F.lit(0)), "reparameterised": F.coalesce("reparameterised", F.lit(False))}
+    return out.withColumns(fill).select("row.*", *made)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:

@@ -113,9 +113,10 @@ def mixed(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
     A document of which 1.3 times its words are taken comes once or, at odds of 0.3 by a hash, twice. Rows that share
     doc_id and source come equally often.
     """
-    rates = mix(docs, seed=seed, **settings).groupBy("doc_id", "source").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_rate"))
-    rates = rates.withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source"})
-    both = docs.join(rates, docs["doc_id"].eqNullSafe(rates["_mix_id"]) & docs["source"].eqNullSafe(rates["_mix_source"]))
-    chance = F.pmod(F.xxhash64(docs["doc_id"], F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(1 << 20)
-    both = both.withColumn("_copies", F.floor(F.col("_rate") + chance).cast("int")).where("_copies > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    rates = mix(docs, seed=seed, **settings).groupBy("doc_id", "source").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("rate"))
+    rates = rates.withColumnsRenamed({"doc_id": "id", "source": "from"})
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))  # so no name of docs meets those made here
+    both = rows.join(rates, F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("from")))
+    chance = F.pmod(F.xxhash64("row.doc_id", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(1 << 20)
+    both = both.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).where("copies > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -64,10 +64,10 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 1 << 14, keep: tuple[s
 
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = split(thin).groupBy("shard", "cell", "part").count().select("cell", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    full = split(docs.select("doc_id", *keep, *(c.alias(k) for k, c in made.items())) if keep else thin)
+    full = split(docs.select("doc_id", F.struct(*keep).alias("_kept"), *(c.alias(k) for k, c in made.items())) if keep else thin)
     within = Window.partitionBy("cell", "part").orderBy("text_crc32", "size", "doc_id")
     numbered = full.withColumn("place", F.row_number().over(within)).join(F.broadcast(starts), ["cell", "part"])
     return numbered.select(
-        "doc_id", *keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "doc_id", *(F.col("_kept")[c].alias(c) for c in keep), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
