@@ -164,7 +164,7 @@ def knn_graph(spark, d):
 @query()
 def ann_ivf(spark, d):
     v, q = vectors(spark, d), asked(spark, d)
-    found = vector.ivf(v, q, 10, vector.centroids(v, 16), 10, METRICS["l2"])
+    found = vector.ivf(v, q, 10, vector.centroids(v, 16), 13, METRICS["l2"])
     return vector.recall(found, vector.knn(v, q, 10))
 
 
@@ -174,6 +174,16 @@ def ann_lsh_recall(spark, d):
     return vector.recall(vector.lsh(v, q, 10, METRICS["l2"]), vector.knn(v, q, 10))
 
 
+@query()
+def hnsw_beam(spark, d):
+    """Beam search over the cells' graph, from the least id of each cell."""
+    cells = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").alias("cell"))
+    graph = vector.cell_graph(cells, 8, METRICS["l2"])
+    entries = cells.groupBy("cell").agg(F.min("vec_id").alias("vec_id"))
+    v, q = vectors(spark, d), asked(spark, d)
+    return vector.recall(vector.beam(graph, v, q, entries, 10, METRICS["l2"], steps=4), vector.knn(v, q, 10))
+
+
 # ---- product quantization: 8 parts of 8 dimensions, seeded by the 256 least ids
 
 SUB = "sub AS (SELECT vec_id, m, list_slice(CAST(embedding AS DOUBLE[]), m * 8 + 1, m * 8 + 8) AS s FROM embeddings, (SELECT CAST(unnest(range(8)) AS INTEGER) AS m)), book AS (SELECT m, CAST(row_number() OVER (PARTITION BY m ORDER BY vec_id) - 1 AS INTEGER) AS c, s AS centroid FROM (SELECT * FROM sub WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 256)))"
