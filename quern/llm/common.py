@@ -82,7 +82,7 @@ def map_texts(docs: DataFrame, derive: Callable[[], Callable[[list[str | None]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = derive()
-        for b in batches:
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # bounds the Python objects at one time
             made = function(b.column(text).to_pylist())
             columns = [b.column(f.name) if f.name in keep else pa.array(made[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)], names=arrow.names)

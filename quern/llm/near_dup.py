@@ -6,11 +6,14 @@ values of one place are K neighbouring entries of the second permutation, so a s
 sliding window. Bands of coordinates make candidates; a link needs the exact Jaccard similarity of the full sets.
 
 Equal sets are gathered first, and one document stands for each. In a bucket of at most `small` documents all are
-compared. In a larger bucket every document is compared with leaders, which each band draws anew, in rounds: after
-each one, documents already joined to their bucket's leader's component rest, the others meet a new leader, until a
-round finds no new component to join. Comparisons so grow with bucket sizes, not with their squares.
-
-Cost: texts are read twice (signatures; full sets of candidates only). Components are found by spreading the least
+compared. In a larger bucket every document is compared with a leader; then, in rounds, documents meet about `leaders`
+others of their bucket that are not of their component yet, drawn anew for each bucket and round, until a round joins
+nothing more. Most documents of a large group are joined by the first leader, so comparisons grow with bucket sizes,
+not with their squares. A bucket of at most `leaders` documents is compared in full. What remains open: a document
+that is linked to a share f of a larger bucket, and to nothing by its smaller ones, is missed with a probability of
+(1 - f) ** leaders for each bucket that it shares.
+
+Cost: texts are read twice (signatures; then full sets, once, of documents that share a bucket). Components are found by spreading the least
 doc_id along links with pointer jumping, in tables in the shared folder.
 
 Defined results: no words or no text: an empty set, linked with nothing. Rows that share a doc_id are one document
@@ -42,7 +45,7 @@ def shingle_sets(width: int) -> Callable[[str | None], np.ndarray]:
 
     def run(text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes, A-Z and ASCII blanks only
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         ids = np.empty(len(words), np.uint64)
         for i, w in enumerate(words):
@@ -124,11 +127,16 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(docs, derive, "elements binary")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def sets_of(ids: DataFrame, docs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """The full sets of the documents in ids(id), one row each. ids are broadcast if counted to be few enough."""
+    n = ids.count()
+    texts = docs.join(F.broadcast(ids) if n <= broadcast_rows else ids, docs["doc_id"] == ids["id"], "left_semi")
+    sets = written(full_sets(texts, width), "sets")
+    return sets if sets.count() == n else written(sets.groupBy("doc_id").agg(F.first("elements").alias("elements")), "sets")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) of doc_ids to those whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
-    sets = written(full_sets(texts, width).groupBy("doc_id").agg(F.first("elements").alias("elements")), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
 
     def keep(batches):
@@ -138,9 +146,6 @@ def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             good = []
             for x, y in zip(t.column("x"), t.column("y"), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    good.append(False)
-                    continue
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * common >= percent * (len(p) + len(q) - common))
             yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -175,34 +180,32 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return written(old.unionByName(label.join(start, "id", "left_anti")), "components")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, small: int = 8, most_rounds: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small: int = 8, leaders: int = 64, most_rounds: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id and kept, a row for each row.
 
-    At similarity 0.8, 32 bands of 5 coordinates miss a pair with a probability of 3 in a million.
+    At similarity 0.8, 25 bands of 5 coordinates miss a pair with a probability of 5 in 100,000; at 0.85, of 4 in 10 million.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sign = written(signed(docs, width, bands, rows), "signatures")
     own = sign.where("doc_id is not null and digest is not null")
-    alike = written(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")), "sets-of-one")
-    buckets = alike.select("id", F.posexplode("keys").alias("band", "key"))
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(sizes, ["band", "key"]).select("id", "band", "key", "n"), "buckets")
-
-    few = members.where(F.col("n") <= small)
-    few = few.groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pair = F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    many = members.where(F.col("n") > small).select("id", "band", "key")
-    pairs = few.select(pair.alias("p")).select("p.*").unionByName(met(many, 0, None)).distinct()
-    found = linked(written(pairs, "pairs"), docs, width, percent)
-    component = components(written(found, "links"))
-    for k in range(1, most_rounds):
+    alike = written(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "sets-of-one")
+    buckets = alike.select("id", F.explode("keys").alias("key"))  # the band is part of a key
+    counts = buckets.groupBy("key").agg(F.count("*").alias("bucket")).where("bucket > 1")
+    members = written(buckets.join(counts, "key").join(alike.select("id", "n"), "id"), "buckets")
+    sets = sets_of(written(members.select("id").distinct(), "wanted"), docs, width, broadcast_rows)
+
+    few = members.where(F.col("bucket") <= small).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
+    each = few.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: a["id"] < b["id"]), lambda b: F.struct(a.alias("x"), b.alias("y")))))).alias("p"))
+    pairs = sized(each.select("p.x", "p.y"), percent)
+    many = members.where(F.col("bucket") > small)
+    pairs = pairs.unionByName(sized(met(many, 0, 1), percent)).distinct()
+    component = components(written(linked(pairs, sets, percent), "links"))
+    for turn in range(1, most_rounds):
         # documents of large buckets that more than one component still shares
-        at = many.join(component, "id", "left").select("id", "band", "key", F.coalesce("component", "id").alias("component"))
-        split = at.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-        pairs = written(met(at.join(split, ["band", "key"]), k, "component").distinct(), "pairs")
-        if not pairs.limit(1).count():
-            break
-        found = written(linked(pairs, docs, width, percent), "links")
+        at = many.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        pairs = sized(met(at.join(split, "key"), turn, leaders, "component"), percent).distinct()
+        found = written(linked(pairs, sets, percent), "links")
         if not found.limit(1).count():
             break
         component = components(found, component)
@@ -212,13 +215,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), single).alias("component_id"), F.coalesce(F.col("doc_id") == single, F.lit(True)).alias("kept"))
 
 
-def met(members: DataFrame, turn: int, component: str | None) -> DataFrame:
-    """members(id, band, key) of large buckets to pairs (a, b): each member with its bucket's leader of this turn.
+def sized(pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs(x, y) of struct<id,n> to (a, b), a < b, where the set sizes n allow a link."""
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return pairs.where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def met(members: DataFrame, turn: int, leaders: int, component: str | None = None) -> DataFrame:
+    """members(id, n, key, bucket) of large buckets to pairs (x, y): each member with its bucket's leaders of this turn.
 
-    With `component`, only members outside of their leader's component.
+    About `leaders` members of a bucket lead, by a hash of member, bucket and turn; with one leader, exactly one does.
+    With `component`, only pairs of different components.
     """
-    draw: Column = F.xxhash64("id", "band", F.lit(turn))
-    lead = members.groupBy("band", "key").agg(F.min(F.struct(draw.alias("draw"), "id", *([component] if component else []))).alias("lead"))
-    both = members.join(lead, ["band", "key"])
-    apart = F.col(component) != F.col(f"lead.{component}") if component else F.col("id") != F.col("lead.id")
-    return both.where(apart).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+    draw: Column = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30))
+    own = F.struct("id", "n", *([component] if component else []))
+    if leaders == 1:
+        lead = members.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), own.alias("x"))).alias("lead")).select("key", "lead.x")
+    else:
+        lead = members.where(draw * F.col("bucket") < leaders * (1 << 30)).select("key", own.alias("x"))
+    both = members.select("key", own.alias("y")).join(lead, "key")
+    return both.where(F.col("x.component") != F.col("y.component") if component else F.col("x.id") != F.col("y.id")).select("x", "y")
