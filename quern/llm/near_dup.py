@@ -180,7 +180,7 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return written(old.unionByName(label.join(start, "id", "left_anti")), "components")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small: int = 8, leaders: int = 64, most_rounds: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small: int = 8, leaders: int = 4, most_rounds: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id and kept, a row for each row.
 
     At similarity 0.8, 25 bands of 5 coordinates miss a pair with a probability of 5 in 100,000; at 0.85, of 4 in 10 million.
