@@ -11,7 +11,7 @@ others of their bucket that are not of their component yet, drawn anew for each
 nothing more. Most documents of a large group are joined by the first leader, so comparisons grow with bucket sizes,
 not with their squares. A bucket of at most `leaders` documents is compared in full. What remains open: a document
 that is linked to a share f of a larger bucket, and to nothing by its smaller ones, is missed with a probability of
-(1 - f) ** leaders for each bucket that it shares.
+(1 - f) ** leaders for each bucket that it shares, in each round.
 
 Cost: texts are read twice (signatures; then full sets, once, of documents that share a bucket). Components are found by spreading the least
 doc_id along links with pointer jumping, in tables in the shared folder.
