@@ -211,6 +211,37 @@ def test_near_duplicates_edge_cases(spark):
     assert near_duplicates(docs_of(spark, EDGE).limit(0)).count() == 0
 
 
+def test_copies_linked_only_to_their_base(spark):
+    """In large buckets, whatever the number of rounds: each copy is near the base and to no other copy."""
+    from quern.llm.near_dup import near_duplicates
+
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(5000, " ".join(base))]
+    for i in range(1500):
+        words = list(base)
+        for k, at in enumerate(rng.sample(range(300), 33)):
+            words[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    got = near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), width=1, most_rounds=3).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_blocks_find_all_links(spark):
+    import numpy as np
+
+    from quern.llm.near_dup import block_links, components
+
+    rng = random.Random(8)
+    groups = [[rng.randrange(10**9) for _ in range(40)] for _ in range(30)]
+    held = {i: sorted({*groups[i % 30][:38], rng.randrange(10**9), rng.randrange(10**9)}) for i in range(300)}
+    sets = spark.createDataFrame([(i, bytearray(np.array(x, np.uint64).tobytes())) for i, x in held.items()], "doc_id long, elements binary")
+    start = {i: (0 if i % 30 == 0 else i) for i in held}  # one component is joined already
+    members = spark.createDataFrame([(key, i, len(held[i]), start[i]) for key in (1, 2) for i in held], "key long, id long, n long, component long")
+    links = block_links(members, sets, 80, block=7)
+    assert {r["id"]: r["component"] for r in components(links).collect()} == {i: i % 30 for i in held if i % 30}
+
+
 def test_circulant_estimates_similarity():
     import numpy as np
 
