@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts and benchmark items become templates: numbers, names (words with a capital) and units turn into typed
-placeholders, all other words into lower case. Hashes of template windows are joined. Windows
+placeholders, all other words into lower case. Hashes of template windows are joined, and of windows of the plain
+lower-case words too, so that a passage is found whatever its case makes of its names. Windows
 of one document and item on one diagonal (the same shift) form an alignment; it counts if it holds enough windows and
 its slots are consistent: the same value in the item always meets the same value in the document. So a question is
 found again with other numbers and names, while a chance match of a frame with unrelated fillings is not.
@@ -10,8 +11,9 @@ All work is in built-in column functions. Documents are not shuffled to find win
 windows are few enough to broadcast (counted first; beyond that both sides are shuffled by hash).
 
 Items of `window` tokens or more are searched by windows of that length; shorter ones, down to `least_tokens`, by
-windows of that many, of which all must be found. Items with fewer tokens, or windows with fewer than half of their
-tokens literal, tell nothing and are not searched.
+windows of that many, of which all must be found. Template windows with fewer than half of their tokens literal tell
+nothing and are searched by their plain words only; where too few others are left to count, those must all be found
+and the template of the whole item must be there. Items with fewer tokens tell nothing and are not searched.
 
 Defined results: a null or empty text is never contaminated. Repeated rows get equal results; rows with a null doc_id
 too, each by its own text. Null and repeated items are ignored. Other input columns are ignored. An empty table of
@@ -38,7 +40,7 @@ MARKS = ".!?,;:\"'()[]{}#*$%&<>|"
 
 
 def with_tokens(df: DataFrame) -> DataFrame:
-    """df(text) with tok and low: words without MARKS, as written and in lower case; empty ones at an end are harmless."""
+    """df(text) with tok and low: words without MARKS, as written and in lower case; a blank text has an empty one."""
     df = df.withColumn("_t", F.translate(F.coalesce("text", F.lit("")), MARKS, ""))
     return df.withColumns({"tok": F.split("_t", BLANK_RUN), "low": F.split(F.lower("_t"), BLANK_RUN)}).withColumn("n_tok", F.size("tok")).drop("_t")
 
@@ -56,32 +58,43 @@ def template(use: Callable[[Column], Column] = lambda x: x) -> Column:
 
 
 def with_windows(df: DataFrame, window: int) -> DataFrame:
-    """df(tok, low, n_tok) with win: hashes of all template windows of `window` (a power of two) tokens, by doubling.
+    """df(tok, low, n_tok) with n_win and win: hashes of all n_win template windows of `window` (a power of two) tokens, by
+    doubling, then those of the windows of low.
 
     Explode win with posexplode_outer: the plain form adds a filter that would work all steps out once more.
     """
-    df = df.withColumn("win", template(lambda x: F.xxhash64(x)))
+    df = df.withColumns({"win": template(lambda x: F.xxhash64(x)), "plain": F.transform("low", lambda x: F.xxhash64(x))})
     width = 1
     while width < window:
         n = F.greatest(F.col("n_tok") - 2 * width + 1, F.lit(0))
-        df = df.withColumn("win", F.zip_with(F.slice("win", 1, n), F.slice("win", 1 + width, n), lambda a, b: F.xxhash64(a, b)))
+        df = df.withColumns({c: F.zip_with(F.slice(c, 1, n), F.slice(c, 1 + width, n), lambda a, b: F.xxhash64(a, b)) for c in ("win", "plain")})
         width *= 2
-    return df
+    return df.withColumns({"n_win": F.greatest(F.col("n_tok") - window + 1, F.lit(0)), "win": F.concat("win", "plain")}).drop("plain")
 
 
 def _hits(docs: DataFrame, items: DataFrame, window: int, need: int, broadcast_rows: int) -> DataFrame:
-    """Alignments (doc_id, text_key, item_id, shift, first, last, n_windows) with enough windows."""
+    """Alignments (doc_id, text_key, item_id, shift, first, last, n_windows, whole) with enough windows.
+
+    whole: it has all template windows of an item that has too few; the template of the whole item must match.
+    """
     literal = F.size(F.filter(F.slice(F.col("tpl"), F.col("ipos") + 1, window), lambda x: ~x.isin("<num>", "<name>", "<unit>")))
-    wins = with_windows(items, window).select("item_id", "tpl", F.greatest(F.col("n_tok") - window + 1, F.lit(0)).alias("n_item"), F.posexplode_outer("win").alias("ipos", "win"))
-    wins = written(wins.where(literal >= window // 2).select("item_id", "n_item", "ipos", "win"), "windows")
+    wins = with_windows(items, window).select("item_id", "tpl", "n_win", F.posexplode_outer("win").alias("at", "win")).where("win is not null")
+    wins = wins.withColumns({"ipos": F.col("at") % F.col("n_win"), "form": F.col("at") < F.col("n_win")})
+    wins = wins.where(~F.col("form") | (literal >= window // 2)).groupBy("item_id", "n_win", "ipos", "win").agg(F.max("form").alias("form"))
+    wins = written(wins.select("item_id", F.col("n_win").alias("n_item"), "ipos", "win", "form"), "windows")
+    forms = wins.where("form").groupBy("item_id").agg(F.count("*").alias("n_form"))
+    wins = written(wins.join(forms, "item_id", "left"), "windows")
     n = wins.count()
     if not n:
         return None
     wins = F.broadcast(wins) if n <= broadcast_rows else wins
-    found = with_windows(docs, window).select("doc_id", "text_key", F.posexplode_outer("win").alias("pos", "win")).join(wins, "win")
-    found = found.select("doc_id", "text_key", "item_id", "n_item", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
-    found = found.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.min("ipos").alias("first"), (F.max("ipos") + window - 1).alias("last"), F.count("*").alias("n_windows"), F.max("n_item").alias("n_item"))
-    return found.where(F.col("n_windows") >= F.least(F.lit(need), "n_item")).drop("n_item")
+    found = with_windows(docs, window).select("doc_id", "text_key", "n_win", F.posexplode_outer("win").alias("pos", "win")).join(wins, "win")
+    found = found.withColumn("shift", (F.col("pos") % F.col("n_win") - F.col("ipos")).cast("int"))
+    found = found.groupBy("doc_id", "text_key", "item_id", "shift", "ipos").agg(F.max("form").alias("form"), F.max("n_item").alias("n_item"), F.max("n_form").alias("n_form"))
+    found = found.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.min("ipos").alias("first"), (F.max("ipos") + window - 1).alias("last"), F.count("*").alias("n_windows"), F.count_if("form").alias("forms"), F.max("n_item").alias("n_item"), F.max("n_form").alias("n_form"))
+    found = found.withColumn("whole", F.col("n_windows") < F.least(F.lit(need), "n_item")).where(~F.col("whole") | ((F.col("forms") >= F.col("n_form")) & (F.col("shift") >= 0) & (F.col("n_form") < F.least(F.lit(need), "n_item"))))
+    last = F.when(F.col("whole"), F.col("n_item") + window - 2).otherwise(F.col("last"))
+    return found.withColumns({"first": F.when(F.col("whole"), 0).otherwise(F.col("first")), "last": last}).drop("n_item", "n_form", "forms")
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = 8, least_tokens: int = 4, need: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
@@ -93,17 +106,18 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 8, least_tokens: int
     long_ones = _hits(made, items.where(F.col("n_tok") >= window), window, need, broadcast_rows)
     short_ones = _hits(made, items.where((F.col("n_tok") < window) & (F.col("n_tok") >= least_tokens)), least_tokens, window, broadcast_rows)
     both = [x for x in (long_ones, short_ones) if x is not None]
-    found = both[0].unionByName(both[1]) if len(both) == 2 else both[0] if both else made.select("doc_id", "text_key", F.lit(None).cast("bigint").alias("item_id"), *(F.lit(0).alias(c) for c in ("shift", "first", "last")), F.lit(0).cast("bigint").alias("n_windows")).where("false")
+    found = both[0].unionByName(both[1]) if len(both) == 2 else both[0] if both else made.select("doc_id", "text_key", F.lit(None).cast("bigint").alias("item_id"), *(F.lit(0).alias(c) for c in ("shift", "first", "last")), F.lit(0).cast("bigint").alias("n_windows"), F.lit(False).alias("whole")).where("false")
     found = written(found, "alignments")
     few = found.count() <= broadcast_rows
     # slot values of the aligned parts, from the documents found only
     hits = found.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     at = keyed.where("text is not null").join(F.broadcast(hits) if few else hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).drop("d", "k")
-    at = with_tokens(at).withColumnRenamed("low", "dtok").drop("text", "tok", "n_tok")
+    at = with_tokens(at).withColumn("dtpl", template()).withColumnRenamed("low", "dtok").drop("text", "tok", "n_tok")
     own = items.select(F.col("item_id").alias("i"), F.col("low").alias("tok"), "tpl")
     at = at.join(own, F.col("item_id") == F.col("i")).drop("i")
     span = F.col("last") - F.col("first") + 1
     cut = lambda c, shift: F.slice(F.col(c), F.col("first") + shift + 1, span)
+    at = at.where(~F.col("whole") | (F.slice("dtpl", F.col("shift") + 1, span) == F.col("tpl"))).drop("dtpl", "whole")
     slots = F.filter(
         F.zip_with(F.arrays_zip(cut("tpl", F.lit(0)).alias("t"), cut("tok", F.lit(0)).alias("i")), cut("dtok", F.col("shift")), lambda a, d: F.struct(a["t"].alias("t"), a["i"].alias("i"), d.alias("d"))),
         lambda s: s["t"].startswith("<"),

@@ -276,6 +276,16 @@ def test_leaks(spark):
     assert by[rows[0]]["item_id"] == 1
 
 
+def test_leaks_in_another_case(spark):
+    from quern.llm.decontaminate import decontaminate
+
+    asked = "Yesterday Tom Smith of New York met Anna Maria Lopez near Lake Erie while Bob Jones from Ohio met Eve"
+    items = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    rows = [(1, f"so it goes {asked} and on"), (2, f"so it goes {asked.lower()} and on"), (3, f"so it goes {asked.upper()} and on"), (4, "so it goes on and on and on and on")]
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate(docs_of(spark, [(i, t, "s") for i, t in rows]), items).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_leaks_edge_cases(spark):
     from quern.llm.decontaminate import decontaminate, drop_contaminated
 
