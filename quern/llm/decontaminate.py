@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANK_RUN, written
+from quern.llm.common import BLANK_RUN, BLANKS, written
 
 # Units of measure, currency and time in lower case, without those that are also common words.
 UNITS = (
@@ -41,7 +41,7 @@ MARKS = ".!?,;:\"'()[]{}#*$%&<>|"
 
 def with_tokens(df: DataFrame) -> DataFrame:
     """df(text) with tok and low: words without MARKS, as written and in lower case; a blank text has an empty one."""
-    df = df.withColumn("_t", F.translate(F.coalesce("text", F.lit("")), MARKS, ""))
+    df = df.withColumn("_t", F.btrim(F.translate(F.coalesce("text", F.lit("")), MARKS, ""), F.lit(BLANKS)))
     return df.withColumns({"tok": F.split("_t", BLANK_RUN), "low": F.split(F.lower("_t"), BLANK_RUN)}).withColumn("n_tok", F.size("tok")).drop("_t")
 
 

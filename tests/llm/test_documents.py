@@ -286,6 +286,15 @@ def test_leaks_in_another_case(spark):
     assert got == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_leaks_of_items_with_few_literal_windows(spark):
+    from quern.llm.decontaminate import decontaminate
+
+    items = spark.createDataFrame([(1, "Is 7 times 8 56 or 54"), (2, "how many legs do cats have \n")], "item_id long, text string")
+    rows = [(1, "we ask Is 7 times 8 56 or 54 today"), (2, "we ask Is 3 times 9 27 or 28 today"), (3, "a list of times 3 4 or so"), (4, "well how many legs do cats have then"), (5, "well how many legs do dogs have then"), (6, "times 3 4 or"), (7, "we ask Is 3 times 3 27 or 28 today")]
+    got = {r["doc_id"]: (r["contaminated"], r["reparameterised"]) for r in decontaminate(docs_of(spark, [(i, t, "s") for i, t in rows]), items).collect()}
+    assert got == {1: (True, False), 2: (True, True), 3: (False, False), 4: (True, False), 5: (False, False), 6: (False, False), 7: (True, True)}
+
+
 def test_leaks_edge_cases(spark):
     from quern.llm.decontaminate import decontaminate, drop_contaminated
 
