@@ -5,18 +5,20 @@ breaks up structure; of a second one, circularly shifted by k, the least value o
 values of one place are K neighbouring entries of the second permutation, so a signature is a minimum over rows of a
 sliding window. Bands of coordinates make candidates; a link needs the exact Jaccard similarity of the full sets.
 
-Equal sets are gathered first, and one document stands for each. In a bucket of at most `small` documents all are
-compared. In a larger bucket every document is compared with a leader; then, in rounds, documents meet about `leaders`
-others of their bucket that are not of their component yet, drawn anew for each bucket and round, until a round joins
-nothing more. This joins most documents of a large group with comparisons that grow with bucket sizes. What it leaves
-is then compared in full: the documents of a bucket that still holds several components are cut into blocks, and each
-pair of blocks is one piece of work, wherever they are, until no two documents of a bucket are both unlinked and
-untested. Only the documents of one component are not compared with each other, as that could join nothing. So what
-is missed is what shares no bucket. This last step grows with the square of what a bucket holds beside its largest
-component; only its blocks travel, not its pairs.
-
-Cost: texts are read twice (signatures; then full sets, once, of documents that share a bucket). Components are found by spreading the least
-doc_id along links with pointer jumping, in tables in the shared folder.
+Equal sets are gathered first, and one document stands for each; so are buckets of equal members. The documents of a
+bucket are then compared in full, in one task, on their full sets: element counts of all pairs come from one pass over
+the elements that several of them hold, and only links that join something leave the task. So pairs are never rows,
+and no pair of a bucket is left out.
+
+A bucket of more than `block` documents or `elements` elements doesn't go to one task. First all its documents meet its
+leader, which gathers most of a large group of near copies in one component. If the bucket then still holds several
+components, its documents are cut into blocks, and every pair of blocks is a piece of work of its own, wherever they
+are. Only the documents of one component are not compared with each other, as that could join nothing. This grows with
+the square of what a bucket holds beside its largest component. What is missed is what shares no bucket.
+
+Cost: texts are read twice (signatures; then full sets, once, of documents that share a bucket); a full set travels once
+for each distinct bucket that it is in (blocks: once for each pair). Components are found by spreading the least doc_id
+along links with pointer jumping, in tables in the shared folder.
 
 Defined results: no words or no text: an empty set, linked with nothing. Rows that share a doc_id are one document
 and should share a text; of repeated rows, each gets the result. A null doc_id can't be a component: such rows are
@@ -30,7 +32,7 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import map_texts, written
@@ -182,7 +184,7 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return written(old.unionByName(label.join(start, "id", "left_anti")), "components")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, small: int = 8, leaders: int = 4, most_rounds: int = 20, broadcast_rows: int = 1_000_000, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 2048, elements: int = 1 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id and kept, a row for each row.
 
     At similarity 0.8, 32 bands of 5 coordinates miss a pair with a probability of 3 in a million; at 0.85, of 6 in a billion.
@@ -191,34 +193,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sign = written(signed(docs, width, bands, rows), "signatures")
     own = sign.where("doc_id is not null and digest is not null")
     alike = written(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "sets-of-one")
-    buckets = alike.select("id", F.explode("keys").alias("key"))  # the band is part of a key
-    counts = buckets.groupBy("key").agg(F.count("*").alias("bucket")).where("bucket > 1")
-    members = written(buckets.join(counts, "key").join(alike.select("id", "n"), "id"), "buckets")
+    members = bucketed(alike.select("id", "n", "keys"), broadcast_rows)
     sets = sets_of(written(members.select("id").distinct(), "wanted"), docs, width, broadcast_rows)
 
-    few = members.where(F.col("bucket") <= small).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
-    each = few.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: a["id"] < b["id"]), lambda b: F.struct(a.alias("x"), b.alias("y")))))).alias("p"))
-    pairs = sized(each.select("p.x", "p.y"), percent)
-    many = members.where(F.col("bucket") > small)
-    pairs = pairs.unionByName(sized(met(many, 0, 1), percent)).distinct()
-    component = components(written(linked(pairs, sets, percent), "links"))
-    for turn in range(1, most_rounds):
-        pairs = sized(met(shared(many, component), turn, leaders, "component"), percent).distinct()
-        found = written(linked(pairs, sets, percent), "links")
-        if not found.limit(1).count():
-            break
-        component = components(found, component)
-    rest = written(shared(many, component), "shared")
-    if rest.limit(1).count():
-        found = written(block_links(rest, sets, percent, block), "links")
-        if found.limit(1).count():
-            component = components(found, component)
+    fits = (F.col("c") <= block) & (F.col("s") <= elements)
+    whole = members.where(fits).select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left"), "id", F.col("id").alias("component"))
+    links = tested(whole, sets, percent)
+    many = members.where(~fits)
+    any_large = bool(many.limit(1).count())
+    if any_large:
+        links = links.unionByName(linked(star(many, percent), sets, percent))
+    component = components(written(links, "links"))
+    if any_large:
+        rest = written(shared(many, component), "shared")
+        if rest.limit(1).count():
+            found = written(tested(block_pairs(rest, block, elements), sets, percent), "links")
+            if found.limit(1).count():
+                component = components(found, component)
     named = alike.join(component, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sign.drop("keys").join(named, "digest", "left")
     single = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), single).alias("component_id"), F.coalesce(F.col("doc_id") == single, F.lit(True)).alias("kept"))
 
 
+def bucketed(alike: DataFrame, broadcast_rows: int) -> DataFrame:
+    """alike(id, n, keys) to (key, id, n, c, s, lead): members of buckets of several; c counts them, s adds up their n.
+
+    Of buckets with the same members, one stays: counts and two independent hashes over the ids are compared.
+    """
+    buckets = alike.select("id", "n", F.explode("keys").alias("key"))  # the band is part of a key
+    marks = [F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("id")).alias("h"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 32))).alias("g")]
+    lead = F.min(F.struct(F.xxhash64("id", F.lit(2)).alias("draw"), "id", "n")).alias("lead")  # the same document in most buckets of a group
+    heads = buckets.groupBy("key").agg(*marks, lead).where("c > 1").groupBy("c", "s", "h", "g").agg(F.min("key").alias("key"), F.first("lead").alias("lead"))
+    heads = written(heads.select("key", "c", "s", "lead"), "heads")
+    if heads.count() <= broadcast_rows:
+        heads = F.broadcast(heads)
+    return written(buckets.join(heads, "key").select("key", "id", "n", "c", "s", "lead"), "buckets")
+
+
+def star(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of each member with its bucket's leader, where their set sizes allow a link."""
+    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    return members.where(fits & (F.col("id") != F.col("lead.id"))).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
 def shared(members: DataFrame, component: DataFrame) -> DataFrame:
     """members with their component, of the buckets that more than one component still shares."""
     at = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -226,8 +244,8 @@ def shared(members: DataFrame, component: DataFrame) -> DataFrame:
     return at.join(split, "key")
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int, elements: int = 1 << 18) -> DataFrame:
-    """members(key, id, n, component) to links (a, b) that join all that any two of a bucket's documents link.
+def block_pairs(members: DataFrame, block: int, elements: int) -> DataFrame:
+    """members(key, id, n, component) to rows for tested(): each member once for each pair of blocks that it is in.
 
     Blocks have about `block` documents and `elements` elements. A component that needs several has them to itself;
     such blocks of one component don't meet. The others share blocks.
@@ -239,80 +257,106 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int, e
     alone = F.col("parts") > 1
     at = members.join(own.select("key", "component", "parts"), ["key", "component"]).join(pool, "key", "left")
     part = F.pmod(F.when(alone, F.xxhash64("id")).otherwise(F.xxhash64("component")), F.when(alone, F.col("parts")).otherwise(F.col("pool")))
-    at = at.select("key", "id", "component", F.struct(alone.alias("alone"), F.when(alone, F.col("component")).otherwise(0).alias("owner"), part.alias("part")).alias("chunk"))
-    docs = at.join(sets.select(F.col("doc_id").alias("id"), "elements"), "id")
-    blocks = written(docs.groupBy("key", "chunk").agg(F.collect_list(F.struct("id", "component", "elements")).alias("docs")), "blocks")
-    names = blocks.select("key", "chunk")
-    pairs = names.withColumnRenamed("chunk", "x").join(names.withColumnRenamed("chunk", "y"), "key")
-    pairs = written(pairs.where("x <= y and not (x.alone and y.alone and x.owner = y.owner)"), "block-pairs")
-    side = lambda c, of: of.join(blocks.withColumnRenamed("chunk", c), ["key", c]).select("key", "x", "y", F.lit(c).alias("side"), "docs")
-
-    def test(table):
+    at = at.select("key", "id", "component", F.when(alone, F.col("component")).alias("owner"), part.alias("part")).withColumn("chunk", F.xxhash64("owner", "part"))
+    names = written(at.select("key", "owner", "chunk").distinct(), "chunks")
+    x, y = (names.select(F.col("key").alias(f"{c}k"), F.col("owner").alias(f"{c}o"), F.col("chunk").alias(c)) for c in "xy")
+    same = F.coalesce(F.col("xo") == F.col("yo"), F.lit(False))
+    pairs = written(x.join(y, (F.col("xk") == F.col("yk")) & (F.col("x") <= F.col("y")) & ~same).select(F.col("xk").alias("key"), "x", "y"), "chunk-pairs")
+    side = lambda c, of: at.join(of.withColumn("chunk", F.col(c)), ["key", "chunk"]).select("key", "x", "y", F.lit(c == "x").alias("left"), "id", "component")
+    return side("x", pairs).unionByName(side("y", pairs.where("x <> y")))
+
+
+def tested(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows(key, x, y, left, id, component) to links (a, b) that join all that any two documents of a piece link.
+
+    A piece of work is one (key, x, y): with x = y all its documents are compared, else those of the left with the rest.
+    Pieces stand together, as rows are dealt and sorted by them, so one is in memory at a time.
+    """
+    full = rows.join(sets.select(F.col("doc_id").alias("id"), "elements"), "id")
+    full = full.select("key", "x", "y", "left", "id", "component", "elements").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def run(batches):
         import pyarrow as pa
 
-        ids, component, held, sides = [], [], [], []
-        for c, docs in zip(table.column("side").to_pylist(), table.column("docs"), strict=True):
-            docs = docs.values
-            ids += docs.field("id").to_pylist()
-            component += docs.field("component").to_pylist()
-            held += [np.frombuffer(v.as_buffer(), np.uint64) for v in docs.field("elements")]
-            sides += [c] * len(docs)
-        first = np.array([c == "x" for c in sides])
-        good = similar(held, first, first if first.all() else ~first, percent)
-        found, top = [], {c: c for c in component}
-
-        def up(c):
-            while top[c] != c:
-                top[c] = c = top[top[c]]
-            return c
-
-        for i, j in zip(*good, strict=True):
-            if (p := up(component[i])) != (q := up(component[j])):
-                top[p] = q
-                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        held, piece = [], None
+
+        def links():
+            found = joining(held, percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return side("x", pairs).unionByName(side("y", pairs.where("x <> y"))).groupBy("key", "x", "y").applyInArrow(test, "a bigint, b bigint").distinct()
+        for t in batches:
+            names = list(zip(*(t.column(c).to_pylist() for c in ("key", "x", "y")), strict=True))
+            left, ids, component = (t.column(c).to_pylist() for c in ("left", "id", "component"))
+            for i, v in enumerate(t.column("elements")):
+                if names[i] != piece:
+                    if held:
+                        yield links()
+                    held, piece = [], names[i]
+                held.append((left[i], ids[i], component[i], np.frombuffer(v.as_py(), np.uint64)))
+        if held:
+            yield links()
+
+    return full.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def joining(held: list[tuple[bool, int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """held(left, id, component, elements): the links between different components, as few as join the same."""
+    first = np.array([h[0] for h in held])
+    found, top = [], {h[2]: h[2] for h in held}
+
+    def up(c):
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    if len(top) > 1:
+        for i, j in zip(*similar([h[3] for h in held], first, first if first.all() else ~first, percent), strict=True):
+            if (p := up(held[i][2])) != (q := up(held[j][2])):
+                top[p] = q
+                a, b = held[i][1], held[j][1]
+                found.append((min(a, b), max(a, b)))
+    return found
 
 
 def similar(held: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i of first and j of second, of all sets in held with 100 * intersection >= percent * union."""
+    """Places (i, j), i of first and j of second, of all sets in held with 100 * intersection >= percent * union.
+
+    An element that few sets hold is counted for each two of them, one that many hold by a product of matrices.
+    """
     n = np.array([len(x) for x in held])
-    _, at, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]  # elements of one set only count in no intersection
-    row = np.repeat(np.arange(len(held)), n)[column >= 0]
-    column = column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
     left, right = np.flatnonzero(first), np.flatnonzero(second)
-    common = np.zeros((len(left), len(right)), np.int64)
-    width = 4096
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [start, start + width])
+    _, column, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(held)), n), often[column]
+    few = max(8, min(len(left), len(right)) // 16)
+    common = np.zeros(len(left) * len(right), np.int64)
+    at = [np.full(len(held), -1), np.full(len(held), -1)]
+    for p, side in zip(at, (left, right), strict=True):
+        p[side] = np.arange(len(side))
+
+    keep = (often > 1) & (often <= few)
+    order = np.argsort(column[keep], kind="stable")
+    r, c, o = row[keep][order], column[keep][order], often[keep][order]
+    for apart in range(1, few):  # the holders of an element are neighbours: pair those `apart` places apart
+        if apart > 1:
+            r, c, o = r[o > apart], c[o > apart], o[o > apart]
+        if len(r) <= apart:
+            break
+        same = np.flatnonzero(c[:-apart] == c[apart:])
+        for a, b in ((r[same], r[same + apart]), (r[same + apart], r[same])):
+            i, j = at[0][a], at[1][b]
+            both = (i >= 0) & (j >= 0)
+            np.add.at(common, i[both] * len(right) + j[both], 1)
+    common = common.reshape(len(left), len(right))
+
+    keep = often > few
+    _, c = np.unique(column[keep], return_inverse=True)
+    order = np.argsort(c, kind="stable")
+    r, c = row[keep][order], c[order]
+    width = 2048
+    for start in range(0, int(c[-1]) + 1 if len(c) else 0, width):
+        lo, hi = np.searchsorted(c, [start, start + width])
         has = np.zeros((len(held), width), np.float32)  # sums of at most `width` ones are exact
-        has[row[lo:hi], column[lo:hi] - start] = 1
+        has[r[lo:hi], c[lo:hi] - start] = 1
         common += (has[left] @ has[right].T).astype(np.int64)
     i, j = np.nonzero(100 * common >= percent * (n[left][:, None] + n[right][None, :] - common))
     return left[i], right[j]
-
-
-def sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs(x, y) of struct<id,n> to (a, b), a < b, where the set sizes n allow a link."""
-    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    return pairs.where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-
-def met(members: DataFrame, turn: int, leaders: int, component: str | None = None) -> DataFrame:
-    """members(id, n, key, bucket) of large buckets to pairs (x, y): each member with its bucket's leaders of this turn.
-
-    About `leaders` members of a bucket lead, by a hash of member, bucket and turn; with one leader, exactly one does.
-    With `component`, only pairs of different components.
-    """
-    draw: Column = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30))
-    own = F.struct("id", "n", *([component] if component else []))
-    if leaders == 1:
-        lead = members.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), own.alias("x"))).alias("lead")).select("key", "lead.x")
-    else:
-        lead = members.where(draw * F.col("bucket") < leaders * (1 << 30)).select("key", own.alias("x"))
-    both = members.select("key", own.alias("y")).join(lead, "key")
-    return both.where(F.col("x.component") != F.col("y.component") if component else F.col("x.id") != F.col("y.id")).select("x", "y")

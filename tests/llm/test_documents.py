@@ -212,7 +212,7 @@ def test_near_duplicates_edge_cases(spark):
 
 
 def test_copies_linked_only_to_their_base(spark):
-    """In large buckets, whatever the number of rounds: each copy is near the base and to no other copy."""
+    """Each copy is near the base and to no other copy."""
     from quern.llm.near_dup import near_duplicates
 
     rng = random.Random(7)
@@ -223,14 +223,14 @@ def test_copies_linked_only_to_their_base(spark):
         for k, at in enumerate(rng.sample(range(300), 33)):
             words[at] = f"own{i}x{k}"
         rows.append((i, " ".join(words)))
-    got = near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), width=1, most_rounds=3).collect()
+    got = near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), width=1).collect()
     assert {r["component_id"] for r in got} == {0}
 
 
 def test_blocks_find_all_links(spark):
     import numpy as np
 
-    from quern.llm.near_dup import block_links, components
+    from quern.llm.near_dup import block_pairs, components, tested
 
     rng = random.Random(8)
     groups = [[rng.randrange(10**9) for _ in range(40)] for _ in range(30)]
@@ -238,10 +238,42 @@ def test_blocks_find_all_links(spark):
     sets = spark.createDataFrame([(i, bytearray(np.array(x, np.uint64).tobytes())) for i, x in held.items()], "doc_id long, elements binary")
     start = {i: (0 if i % 30 == 0 else i) for i in held}  # one component is joined already
     members = spark.createDataFrame([(key, i, len(held[i]), start[i]) for key in (1, 2) for i in held], "key long, id long, n long, component long")
-    links = block_links(members, sets, 80, block=7)
+    links = tested(block_pairs(members, block=7, elements=1 << 20), sets, 80)
     assert {r["id"]: r["component"] for r in components(links).collect()} == {i: i % 30 for i in held if i % 30}
 
 
+def test_similar_sets_by_force():
+    import numpy as np
+
+    from quern.llm.near_dup import similar
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 400)
+    held = [np.unique(np.concatenate([rng.choice(base, rng.integers(330, 400), replace=False), rng.integers(0, 1 << 62, rng.integers(0, 40))]).astype(np.uint64)) for _ in range(200)]
+    for first in (np.ones(200, bool), np.arange(200) < 90):
+        second = first if first.all() else ~first
+        force = {(i, j) for i in np.flatnonzero(first) for j in np.flatnonzero(second) if 100 * len(c := np.intersect1d(held[i], held[j])) >= 80 * (len(held[i]) + len(held[j]) - len(c))}
+        assert force and set(zip(*similar(held, first, second, 80), strict=True)) == force
+
+
+@pytest.mark.parametrize("block", [2048, 100])
+def test_pairs_inside_a_template(spark, block):
+    """Pairs at 0.80 among documents that are all at 0.786 to each other: in every bucket, none may be missed."""
+    from quern.llm.near_dup import near_duplicates
+
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(880)]
+    rows = []
+    for pair in range(150):
+        both = [f"p{pair}x{k}" for k in range(9)]
+        for i in (2 * pair, 2 * pair + 1):
+            words = template + both + [f"o{i}x{k}" for k in range(111)]
+            rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), width=1, block=block).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_circulant_estimates_similarity():
     import numpy as np
 
