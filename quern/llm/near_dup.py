@@ -40,30 +40,34 @@ from quern.llm.common import map_texts, written
 D = 1 << 17  # places; long texts share some, which only adds candidates
 
 
+class Hashed(dict):
+    """Hashes of words, kept for words seen before; emptied between texts when they are many."""
+
+    def __init__(self, function: Callable):
+        self._function = function
+
+    def __missing__(self, word):
+        self[word] = h = self._function(word)
+        return h
+
+    def of(self, words: list) -> np.ndarray:
+        if len(self) > 100_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_sets(width: int) -> Callable[[str | None], np.ndarray]:
     """A function from a text to its set: sorted distinct 64-bit hashes of `width`-word shingles."""
     import xxhash
 
-    of = xxhash.xxh3_64_intdigest
-    known: dict[bytes, int] = {}
+    known = Hashed(xxhash.xxh3_64_intdigest)
 
     def run(text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes, A-Z and ASCII blanks only
-        if len(known) > 100_000:
-            known.clear()
-        ids = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = of(w)
-            ids[i] = h
+        ids = known.of(text.encode("utf-8", "surrogatepass").lower().split() if text else [])  # of bytes, A-Z and ASCII blanks only
         n = max(1, len(ids) - width + 1) if len(ids) else 0
-        if len(ids) < width:
-            width_here = len(ids)
-        else:
-            width_here = width
-        out = np.full(n, width_here, np.uint64)
-        for k in range(width_here):
+        here = min(width, len(ids))
+        out = np.full(n, here, np.uint64)
+        for k in range(here):
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n])
         return np.unique(out)
 

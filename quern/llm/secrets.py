@@ -4,8 +4,15 @@ One pass over each text. A single automaton finds every keyword; only there does
 keyword's kind run, anchored at the hit. Kinds whose format embeds a checksum are reported only if it holds, which
 separates real credentials from look-alikes. `hex` runs have no keyword, so one linear scan finds them.
 
+Account and card numbers may begin up to `NEAR` characters after a keyword or after another number that was found.
+Every group of digits or letters there is tried as a beginning, at each length that its country or issuer allows and
+that ends with a group, so what stands before or behind a number doesn't hide it.
+
+Time is linear in the length of a text, however long: no place is tried twice for a kind.
+
 Defined results: a null text counts as empty; an empty text has no spans. Repeated rows each get their own result,
-rows with a null doc_id too. Input columns other than doc_id and text are ignored, whatever their names.
+rows with a null doc_id too. Spans of different kinds may overlap; ties are listed by kind. Input columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,9 +46,31 @@ ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CREDENTIAL = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-NEAR = 24  # characters between a keyword and the number that it announces
-IBAN = re.compile(r"[^0-9A-Z]{0,%d}?(?<![0-9A-Z])([A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]){11,30})(?![0-9A-Z])" % NEAR)
-CARD = re.compile(r"[^0-9]{0,%d}?(?<![0-9])([0-9](?:[ -]?[0-9]){12,18})(?![0-9])" % NEAR)
+NEAR = 32  # characters between a keyword, or a number that was found, and the next number
+IBAN_START = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}")
+CARD_START = re.compile(r"(?<![0-9])[0-9]")
+DIGITS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+
+# Characters of an account number by country (the public registry of ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+# First digits of an issuer's cards, the numbers of digits that its cards have, the usual one first.
+CARD_ISSUERS = (
+    (re.compile("4"), (16, 19, 13)),
+    (re.compile("5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720"), (16,)),
+    (re.compile("3[47]"), (15,)),
+    (re.compile("30[0-5]|3[689]"), (14, 16, 19)),
+    (re.compile("352[89]|35[3-8]"), (16, 19)),
+    (re.compile("6011|64[4-9]|65"), (16, 19)),
+    (re.compile("62"), (16, 17, 18, 19)),
+    (re.compile("50|5[6-9]|6"), (16, 19, 18, 17, 15, 14, 13, 12)),
+)
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,11 +95,41 @@ def iban_holds(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_at(text: str, at: int) -> int | None:
+    """The end of an account number that begins at `at`; groups may be apart by one space."""
+    length = IBAN_LENGTHS.get(text[at : at + 2])
+    end, left = at, length or 0
+    while left and end < len(text):  # at most `length` steps of two characters
+        if text[end] == " " and end > at and text[end - 1] != " ":
+            end += 1
+        elif text[end].isascii() and (text[end].isdigit() or text[end].isupper()):
+            end, left = end + 1, left - 1
+        else:
+            return None
+    follows = text[end : end + 1]
+    if not length or left or follows.isascii() and follows.isalnum():
+        return None
+    return end if iban_holds(text[at:end].replace(" ", "")) else None
+
+
+def card_at(text: str, at: int) -> int | None:
+    """The end of a card number that begins at `at`; groups may be apart by one space or hyphen."""
+    m = DIGITS.match(text, at, at + 40)  # 19 digits, each apart, and one character more
+    ends = [at + i for i in range(1, m.end() - at + 1) if not text[at + i : at + i + 1].isdigit() and text[at + i - 1].isdigit()]
+    by_size = {sum(c.isdigit() for c in text[at:e]): e for e in ends}
+    sizes = next((sizes for first, sizes in CARD_ISSUERS if first.match(text, at)), ())
+    return next((by_size[n] for n in sizes if n in by_size and luhn_holds(re.sub("[ -]", "", text[at : by_size[n]]))), None)
+
+
 def ascii_lower(text: str) -> str:
     """A-Z to a-z and nothing else, so that offsets stay."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+#: For kinds of numbers: what they begin with, and a function to their end.
+NUMBERS = {"iban": (IBAN_START, iban_at), "card": (CARD_START, card_at)}
+
+
 class Scanner:
     def __init__(self, keywords: dict[str, str] = KEYWORDS):
         self.automaton = ahocorasick.Automaton()
@@ -83,11 +142,23 @@ class Scanner:
         low = ascii_lower(text)
         found = {(m.start(), m.end(), "hex") for m in HEX.finditer(text)}
         hits = sorted((end - n + 1, kind) for end, (n, kind) in self.automaton.iter(low))
-        until = dict.fromkeys(KINDS, 0)
+        until = dict.fromkeys(KINDS, 0)  # up to here, a kind has been looked for
         for at, kind in hits:
-            if kind not in ("iban", "card") and at < until[kind]:
+            if kind in NUMBERS:
+                start, end_of = NUMBERS[kind]
+                place = max(until[kind], at + len(kind))
+                limit = max(at + len(kind) + NEAR, place)
+                while m := start.search(text, place, min(limit + 4, len(text))):
+                    if m.start() > limit:
+                        break
+                    if end := end_of(text, m.start()):
+                        found.add((m.start(), end, kind))
+                        limit = max(limit, end + NEAR)
+                    place = end or m.start() + 1
+                until[kind] = max(until[kind], min(limit, len(text)))
+            elif at < until[kind]:
                 continue  # inside an earlier match of its kind
-            if kind == "assign" and (m := ASSIGN.match(low, at)):
+            elif kind == "assign" and (m := ASSIGN.match(low, at)):
                 until[kind] = m.end()  # a match that is too short still takes its characters
                 if m.end(1) - m.start(1) >= 6:
                     found.add((at, m.end(), kind))
@@ -98,10 +169,6 @@ class Scanner:
             elif kind in ("github", "npm") and (m := CREDENTIAL.match(text, at)):
                 if crc_holds(m[1], m[2]):
                     found.add((at, m.end(), kind))
-            elif kind in ("iban", "card"):
-                number = (IBAN if kind == "iban" else CARD).match(text, at + len("iban" if kind == "iban" else "card"))
-                if number and (iban_holds if kind == "iban" else luhn_holds)(re.sub("[ -]", "", number[1])):
-                    found.add((number.start(1), number.end(1), kind))
         return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -104,6 +104,82 @@ def test_pages(spark):
     assert {r["lang"] for r in identify(spark.createDataFrame(rows, PAGES), docs.limit(0)).collect()} == {None}
 
 
+def test_markup_in_linear_time():
+    import time
+
+    from quern.llm.language import address, read
+
+    assert read("a<b>c</b>&amp;<script>x</script>d<!-- e -->f < g")[0].split() == ["a", "c", "&", "df", "<", "g"]
+    assert read("<html xml:lang='fr'><meta http-equiv=content-language content='en'>x")[1] == "fr"
+    assert read("<meta content='de-AT' http-equiv='Content-Language'>x")[1] == "de"
+    assert read("<script>var a = '<p>'; </script>seen<style>p")[0].split() == ["seen"]
+    assert read(None) == ("", None)
+    for part in ("<script ", "<html ", "<", "<!--", "lang=", "<a ", "&amp", "<script></script", "<meta content-language "):
+        began = time.perf_counter()
+        read(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 2, part
+    assert address("http://shop.example.co.uk/x") == ("shop.example.co.uk", "example.co.uk", ".uk")
+    assert address("http://a.b.example.com/en-GB/x") == ("a.b.example.com", "example.com", "/en")
+    assert address("http://co.uk/") == ("co.uk", "co.uk", ".uk")
+
+
+def test_evidence_by_force(spark):
+    """All of the fusion once more, in plain Python, from the same text model."""
+    import math
+
+    from quern.llm.language import MOST_GRAMS, address, grams, identify, read, train
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, (EN if i % 2 else FR) + f" {i}", "en" if i % 2 else "fr") for i in range(60)], "doc_id long, text string, lang string")
+    hosts = ["www.a.example.co.uk", "b.example.co.uk", "c.example.fr", "d.example.fr", "e.org", None]
+    rows = []
+    for i in range(120):
+        words = rng.sample((EN + " " + FR).split(), rng.randrange(12))
+        host, code = rng.choice(hosts), rng.choice(["en", "fr", "xx", None])
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'fr', 'page'])}/{i}" if host else None, f"<html{f' lang={code}' if code else ''}>{' '.join(words)}"))
+    clash = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "page_id long, url string, html string, host int, p double")
+    langs, table = train(docs)
+    k, pull = len(langs), 5.0
+    ll, p, places, said = {}, {}, {}, {}
+    for i, url, html in rows:
+        text, said[i] = read(html)
+        g = grams(text)
+        n = float(g.sum())
+        ll[i] = [float(x) for x in table @ g * min(1.0, MOST_GRAMS / n)] if n else [0.0] * k
+        e = [math.exp(x - max(ll[i])) for x in ll[i]]
+        p[i] = [x / sum(e) for x in e]
+        places[i] = address(url)
+    add = lambda ids: [sum(x) for x in zip(*(p[i] for i in ids), strict=True)] or [0.0] * k
+    prior = [(x + 1) / (len(rows) + k) for x in add(ll)]
+    for r in identify(clash, docs).collect():
+        i = r["page_id"]
+        host, domain, suffix = places[i]
+        post = list(ll[i])
+        up = prior
+        if domain:
+            d = add(j for j in ll if places[j][1] == domain)
+            up = [(x + pull * q) / (sum(d) + pull) for x, q in zip(d, prior, strict=True)]
+        own = [max(0.0, x - q) for x, q in zip(add(j for j in ll if places[j][0] == host), p[i], strict=True)] if host else [0.0] * k
+        post = [a + math.log((x + pull * q) / (sum(own) + pull)) for a, x, q in zip(post, own, up, strict=True)]
+        for code, of in ((said[i], said), (suffix, {j: v[2] for j, v in places.items()})):
+            if code:
+                same, any_code = add(j for j in ll if of[j] == code), add(j for j in ll if of[j])
+                post = [a + math.log((x + q) / (w + 1)) for a, x, q, w in zip(post, same, prior, any_code, strict=True)]
+        e = [math.exp(x - max(post)) for x in post]
+        want = [x / sum(e) for x in e]
+        assert r["confidence"] == pytest.approx(max(want)) and r["lang"] == langs[want.index(max(want))]
+        assert (r["host"], r["suffix"], r["declared"]) == (host, suffix, said[i])
+
+
+def test_long_conversations_and_clashing_columns(spark):
+    from quern.llm.prefix_tree import digests, prefix_tree, read_back
+
+    long = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " * 50) for i in range(400)] + [(2, 0, "user", "x" * 500_000)]
+    df = spark.createDataFrame([(*r, 1, "n", "p") for r in long], TURNS + ", place int, node string, path string")
+    got = {r["conv_id"]: r for r in digests(read_back(*prefix_tree(df))).collect()}
+    assert got[1]["n_turns"] == 400 and got[2]["formatted_chars"] == 500_000 + len("### user: </turn>") + 1
+
+
 def test_pages_of_the_test_data(spark):
     from quern.llm.queries import op8_language_id
 

@@ -399,6 +399,82 @@ def test_checksums():
     assert "card" in kinds("Visa 4111 1111 1111 1111") and "card" not in kinds("Visa 4111 1111 1111 1112")
 
 
+def test_numbers_near_other_numbers():
+    from quern.llm.secrets import Scanner
+
+    found = lambda t: [t[s:e] for s, e, k in Scanner().spans(t) if k in ("iban", "card")]
+    for text, want in (
+        ("IBAN DE89370400440532013000 EUR", ["DE89370400440532013000"]),
+        ("Visa 4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("card 4111111111111111 123", ["4111111111111111"]),
+        ("IBAN Number: DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+        ("IBAN (Germany): DE89370400440532013000", ["DE89370400440532013000"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+        ("card no. 1: 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("card (exp 12/27) 4111111111111111", ["4111111111111111"]),
+        ("card: 4111111111111111, 5555555555554444 and 378282246310005", ["4111111111111111", "5555555555554444", "378282246310005"]),
+        ("IBAN XX89370400440532013000", []), ("4111111111111111 alone", []), ("card 41111111111111112222", []),
+        ("card " + "4111111111111111 " * 3, ["4111111111111111"] * 3),
+    ):
+        assert found(text) == want, text
+
+
+def test_numbers_by_force():
+    """A number counts if it begins at most 32 characters after a keyword, or after a number that counts."""
+    from quern.llm.secrets import CARD_ISSUERS, IBAN_LENGTHS, NEAR, Scanner
+
+    def card(t, s):
+        if not t[s].isdigit() or s and t[s - 1].isdigit():
+            return None
+        sizes = next((n for first, n in CARD_ISSUERS if first.match(t[s:])), ())
+        for n in sizes:
+            for e in range(s + n, min(s + 2 * n, len(t) + 1)):
+                if re.fullmatch(r"[0-9](?:[ -]?[0-9])*", t[s:e]) and len(d := re.sub("[ -]", "", t[s:e])) == n and not t[e : e + 1].isdigit():
+                    if sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+                        return e
+        return None
+
+    def iban(t, s):
+        if not re.match("[A-Z]{2}[0-9]{2}", t[s:]) or s and re.match("[0-9A-Za-z]", t[s - 1]):
+            return None
+        for e in range(s + 15, min(s + 70, len(t) + 1)):
+            d = t[s:e].replace(" ", "")
+            if re.fullmatch(r"[0-9A-Z](?: ?[0-9A-Z])*", t[s:e]) and len(d) == IBAN_LENGTHS.get(d[:2]) and not re.match("[0-9A-Za-z]", t[e : e + 1]):
+                if int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1:
+                    return e
+        return None
+
+    def force(t):
+        out = set()
+        for kind, words, end_of in (("card", ("card", "visa"), card), ("iban", ("iban",), iban)):
+            ends = [m.end() for w in words for m in re.finditer(w, t.lower())]
+            numbers = sorted((s, e) for s in range(len(t)) if (e := end_of(t, s)))
+            at = 0
+            for s, e in numbers:
+                if s >= at and any(x <= s <= x + NEAR for x in ends):
+                    out.add((s, e, kind))
+                    ends.append(e)
+                    at = e
+        return out
+
+    rng, scan = random.Random(6), Scanner()
+    parts = ["card", "Visa", "IBAN", "mastercard ", " ", ": ", "12/27 ", "4111 1111 1111 1111", "4111111111111111", "5555555555554444", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "FR76", "GB82WEST12345698765432", "x", "7", "-", "a long gap of some words ", " EUR", "378282246310005", "é"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(16)))
+        assert {s for s in scan.spans(text) if s[2] in ("iban", "card")} == force(text), text
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    from quern.llm.secrets import Scanner
+
+    for part in ("card ", "card 4", "IBAN DE89 ", "password", "4111111111111111 card ", "token=", "AKIA", "0123456789abcdef", "iban AA00", "visa 4-1-1-1-1-1-1-"):
+        began = time.perf_counter()
+        Scanner().spans(part * (500_000 // len(part)))
+        assert time.perf_counter() - began < 4, part
+
+
 def test_secret_edge_cases(spark):
     from quern.llm.secrets import scan_secrets
 
@@ -461,9 +537,10 @@ def test_passages(spark):
     rng = random.Random(3)
     say = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n)) + "."
     passage = " ".join(say(9) for _ in range(7))
+    inside = say(60)[:-1]
     own = [say(30) for _ in range(4)]
     header = "Some short licence line."
-    rows = [(1, f"{header}\n{own[0]} {passage} {own[1]}", "s"), (2, f"{header}\n{own[2]} half a sentence {passage}\n{own[3]}", "s"), (3, f"{header}\n{say(60)}", "s"), (4, passage.upper(), "s"), (5, f"{own[0]}", "s"), (6, None, "s"), (7, "", "s"), (None, passage, None)]
+    rows = [(1, f"{header}\n{own[0]} {passage} {own[1]}", "s"), (2, f"{header}\n{own[2]} half a sentence {passage}\n{own[3]}", "s"), (3, f"{header}\n{say(60)}", "s"), (4, passage.upper(), "s"), (5, f"{own[0]}", "s"), (6, None, "s"), (7, "", "s"), (8, f"before {inside} behind", "s"), (9, f"other words run into {inside} and on it goes", "s"), (10, f"{own[3][:-1]} ends\nx\n{own[3][:-1]} ends", "s"), (None, passage, None)]
     got = {r["doc_id"]: r for r in drop_repeats(docs_of(spark, rows)).collect()}
     assert len(got) == len(rows)
     for i, text, _ in rows:
@@ -472,9 +549,38 @@ def test_passages(spark):
             kept.append(text[at : s["start"]])
             at = s["end"]
         assert r["text"] == (None if text is None else "".join([*kept, text[at:]]))
-    assert [bool(got[i]["removed"]) for i in (1, 2, 3, 4, 5, 6, 7, None)] == [False, True, False, True, True, False, False, True]
+    assert {i for i, _, _ in rows if got[i]["removed"]} == {2, 4, 5, 9, 10, None}
     assert rows[1][1][got[2]["removed"][0]["start"] : got[2]["removed"][0]["end"]].endswith(passage[-60:])
-    assert got[2]["text"].startswith(header) and own[3] in got[2]["text"]
+    assert got[2]["text"].startswith(header) and own[3] in got[2]["text"] and got[4]["text"] == "" == got[None]["text"]
+    assert len(got[9]["text"].split()) <= 8 + 36 and len(got[10]["removed"]) == 1
+
+
+def test_passages_by_force(spark, real):
+    """Every shared run of 51 words is touched; and whatever is removed stands in an earlier document, or as a line before."""
+    from quern.llm.queries import op3_passage_dedup
+
+    words = {i: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\S+", real[i] or "")] for i in sorted(real)}
+    runs = lambda i, n: [(k, tuple(w[2] for w in words[i][k : k + n])) for k in range(len(words[i]) - n + 1)]
+    got = {r["doc_id"]: [tuple(map(int, s.split(":"))) for s in r["removed"].split(",") if s] for r in op3_passage_dedup(spark, DATA).collect()}
+    assert set(got) == set(real)
+    long, short = set(), set()
+    touched = 0
+    for i in words:
+        for k, run in runs(i, 51):
+            if run in long:
+                s, e = words[i][k][0], words[i][k + 50][1]
+                assert any(a < e and s < b for a, b in got[i])
+                touched += 1
+        lines = collections.Counter(" ".join(x.lower().split()) for x in (real[i] or "").split("\n"))
+        again = {run for x, n in lines.items() if n > 1 for run in [tuple(x.split()[k : k + 3]) for k in range(len(x.split()) - 2)]}
+        for a, b in got[i]:
+            inside = [w[2] for w in words[i] if a <= w[0] and w[1] <= b]
+            assert len(inside) >= 25
+            grams = [tuple(inside[k : k + 3]) for k in range(len(inside) - 2)]
+            assert sum(g in short or g in again for g in grams) >= len(grams) * 0.9  # where passages meet, a gram may be new
+        long |= {run for _, run in runs(i, 51)}
+        short |= {run for _, run in runs(i, 3)}
+    assert touched
 
 
 def test_passages_edge_cases(spark):
