@@ -11,9 +11,9 @@ large groups are split by a hash of doc_id, so that no task numbers more than a
 All work is in built-in column functions. Two passes: one over texts (size, hash), the others over that thin table.
 
 Defined results: a null text counts 0 bytes and is grouped with the empty text. Repeated rows get slots of their own;
-rows with a null doc_id are numbered like others. Other input columns are ignored unless kept; a kept column must not
-be named like one that this operator makes. An empty table gives an empty result. With fewer atomic groups than
-shards, the last shards are empty.
+rows with a null doc_id are numbered like others. A very long text is an atomic group of its own size. Other input
+columns are ignored unless kept; a kept column named like one that this operator makes comes back as `doc_` and its
+name. An empty table gives an empty result. With fewer atomic groups than shards, the last shards are empty.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import written
 
 OVERHEAD = 8  # bytes that a document takes besides its text
+MADE = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _thin(cells: int) -> dict[str, Column]:
@@ -68,6 +69,6 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 1 << 14, keep: tuple[s
     within = Window.partitionBy("cell", "part").orderBy("text_crc32", "size", "doc_id")
     numbered = full.withColumn("place", F.row_number().over(within)).join(F.broadcast(starts), ["cell", "part"])
     return numbered.select(
-        "doc_id", *(F.col("_kept")[c].alias(c) for c in keep), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "doc_id", *(F.col("_kept")[c].alias(f"doc_{c}" if c in MADE else c) for c in keep), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

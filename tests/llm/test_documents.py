@@ -147,14 +147,106 @@ def test_permutation_is_one(spark):
         assert sorted(r["x"] for r in got) == list(range(n))
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of 64-bit and 32-bit numbers (as (number,)) and strings; nulls leave the hash as it is."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_mix_by_force(spark):
+    """The whole mix once more in plain Python: runs, shards' draws, repair, permutations, blocks joined by index."""
+    from quern.llm.mixing import ROUNDS, blocks, mix, pieces
+
+    rng = random.Random(4)
+    width, per_shard, n_cells = 8, 16, 64
+    rows = [(i, "\n ".join("x" * rng.randint(1, 5) + str(i) for _ in range(rng.choice((0, 1, 7, 30, 90)))) or None, rng.choice(["a", "b", "b", "b", "ü", None])) for i in range(150)] + [(None, "no id", "a"), (3, "again again", "b"), (3, "again again", "b")]
+    docs = docs_of(spark, rows)
+    settings = {"block_words": width, "shard_blocks": per_shard}
+    got = mix(docs, **settings).collect()
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or "")
+    order = sorted({s for _, _, s in rows if s}) + [None]
+    target = {r["source"]: r["target"] for r in got}
+    runs = {}
+    for s in order:
+        own = []
+        for at, (i, t, x) in enumerate(rows):
+            if x == s:
+                own.append((spark_hash(i, spark_hash(t), (0,)) % n_cells, (i is not None, i or 0), len(split(t)), spark_hash(t), at))
+        runs[s] = [(at, w) for *_, at in sorted(own) for w in split(rows[at][1])]
+    n_blocks = {s: -(-len(runs[s]) // width) for s in order}
+    n_slots = {s: round(target[s] * n_blocks[s] / max(1, len(runs[s]))) for s in order}
+    n, drawn = sum(n_slots.values()), []
+    for slot in range(n):
+        at = spark_hash((0,), slot) % n
+        for s in order:
+            if at < n_slots[s]:
+                break
+            at -= n_slots[s]
+        drawn.append(s)
+    own, loose = collections.Counter(), {s: [] for s in order}
+    slots = {}
+    for slot, s in enumerate(drawn):
+        if own[s] < n_slots[s]:
+            slots[slot] = (s, own[s])
+            own[s] += 1
+        else:
+            loose[s].append(slot)
+    spare = [slot for s in order for slot in loose[s]]
+    for s in order:
+        while own[s] < n_slots[s]:
+            slots[spare.pop(0)] = (s, own[s])
+            own[s] += 1
+    assert not spare and set(slots) == set(range(n))
+
+    def permuted(x, size, seed):
+        for k in range(ROUNDS):
+            other = (spark_hash(seed, (k,)) % size - x) % size
+            if spark_hash(seed, (-1 - k,), max(x, other)) % 2 == 0:
+                x = other
+        return x
+
+    taken, text = collections.Counter(), {}
+    for slot, (s, k) in slots.items():
+        block = permuted(k % n_blocks[s], n_blocks[s], spark_hash((0,), (order.index(s),)))
+        held = runs[s][block * width : (block + 1) * width]
+        taken.update(at for at, _ in held)
+        text[slot] = [w.strip() for _, w in held]
+    key = lambda x: str(x)
+    assert sorted(((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got), key=key) == sorted(((i, s, len(split(t)), taken[at]) for at, (i, t, s) in enumerate(rows)), key=key)
+    made = {r["slot"]: r for r in blocks(docs, **settings).collect()}
+    assert {k: r["text"].split() for k, r in made.items()} == text
+    assert all(r["shard"] == k // per_shard for k, r in made.items())
+    whole = collections.defaultdict(list)
+    for r in pieces(docs, **settings).collect():
+        whole[r["rank"], r["block"]].append((r["place"], r["row"]["text"]))
+    for i, t, s in rows:  # cut into pieces, no character of a text is lost
+        blocks_of = {b for b in range(n_blocks[s]) for at, _ in runs[s][b * width : (b + 1) * width] if rows[at][:2] == (i, t)}
+        if t and i not in (3, None) and all((order.index(s), b) in whole for b in blocks_of):
+            assert t.lstrip() in "".join(x for b in sorted(blocks_of) for _, x in sorted(set(whole[order.index(s), b])))
+
+
 def test_mix_edge_cases(spark):
-    from quern.llm.mixing import mix, mixed
+    from quern.llm.mixing import blocks, mix, mixed
 
     docs = docs_of(spark, EDGE)
     assert mix(docs).count() == len(EDGE)
     assert {r["taken"] for r in mix(docs).where("size = 0").collect()} == {0}
-    assert mix(docs.limit(0)).count() == 0
-    assert mixed(docs).columns == docs.columns
+    assert mix(docs.limit(0)).count() == 0 == mixed(docs.limit(0)).count() == blocks(docs.limit(0)).count()
+    out = mixed(docs)
+    assert out.columns == docs.columns
+    words = collections.Counter()
+    for r in out.collect():
+        words[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+    for (i, s), n in words.items():
+        assert n <= 2 * sum(len(WORD.findall(t or "")) for j, t, x in EDGE if (j, x) == (i, s))
 
 
 # ---- near duplicates
@@ -510,6 +602,15 @@ def test_capacity_is_the_smallest(spark):
         assert len(first) <= n and max(loads) == cap
 
 
+def test_kept_columns_that_clash(spark):
+    from quern.llm.sharding import shard
+
+    docs = docs_of(spark, EDGE)
+    got = shard(docs, shards=3, keep=tuple(docs.columns[1:]))
+    assert {"doc_size", "doc_shard", "text", "kept"} <= set(got.columns) and got.count() == len(EDGE)
+    assert {r["doc_size"] for r in got.collect()} == {"clash"}
+
+
 def test_shards(spark):
     from quern.llm.sharding import shard
 
@@ -604,7 +705,9 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns, name
         before, after = (collections.Counter(r["doc_id"] for r in x.collect()) for x in (docs, out))
         if name == "mixing_sources":
-            assert max(after.values()) <= 2 and set(after) <= set(before)
+            words = lambda df: collections.Counter(w for r in df.collect() for w in [r["doc_id"]] * len(WORD.findall(r["text"] or "")))  # noqa: E731, B023
+            had, has = words(docs), words(out)
+            assert set(after) <= set(before) and all(has[i] <= 2 * had[i] for i in has)
         else:
             assert after <= before
         if name == "minhash_near_dedup":
@@ -614,3 +717,26 @@ def test_pipeline_stages(spark):
         sizes.append(out.count())
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == sizes[-1] > 0
     assert corpus_pipeline.run(spark, d).count() == sizes[-1]
+
+
+def test_pipeline_edge_cases(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, EDGE)
+    for rows in (docs, docs.limit(0)):
+        out = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            done = stage(spark, out, DATA)
+            assert done.columns == docs.columns, name
+            out = spark.createDataFrame(done.collect(), docs.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, out, DATA)
+        assert last.count() == out.count() and {"doc_size", "doc_shard", "text"} <= set(last.columns)
+    assert docs.count() >= out.count() == 0
+
+
+def test_pipeline_results_outlive_another_run(spark):
+    import corpus_pipeline
+
+    first = corpus_pipeline.run(spark, DATA)
+    corpus_pipeline.run(spark, DATA)
+    assert first.count() > 0
