@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import oracles
 from quern.llm.common import table
 from quern.llm.decontaminate import decontaminate
 from quern.llm.gam import held_out, score_documents, train
@@ -80,19 +81,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
-
-#: The formatted length counts each backslash, ### and </turn> of a text with the backslash before it, and the marks around.
-ORACLE["op1_chat_prefix_tree"] = r"""
-WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), sized AS (
-  SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + length(role) + length('### : </turn>') + 1 AS chars FROM turns
-)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
-"""
+ORACLE: dict[str, str] = oracles.ORACLE

@@ -1,7 +1,7 @@
 """Sharding by a minimax contiguous partition over ordered atomic groups.
 
-Equal texts share a hash of the text, and so always stay together. Groups are ordered by that hash and gathered, in
-that order, into at most `cells` atomic groups; the smallest shard capacity for which a greedy walk over their sizes
+Equal texts share a checksum, and so always stay together. Texts are gathered by it into at most `cells` atomic groups;
+in their order, the smallest shard capacity for which a greedy walk over their sizes
 needs no more than n shards is found by binary search, and the cuts are made there. Search and walk run as array
 functions over one bounded row, so nothing that grows with the corpus is ever in one place.
 
@@ -29,7 +29,8 @@ MADE = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 def _thin(cells: int) -> dict[str, Column]:
     text = F.coalesce("text", F.lit(""))
-    return {"size": F.octet_length(text).cast("long") + OVERHEAD, "text_crc32": F.crc32(F.encode(text, "UTF-8")), "cell": F.pmod(F.xxhash64(text), F.lit(cells)).cast("int")}
+    crc = F.crc32(F.encode(text, "UTF-8"))
+    return {"size": F.octet_length(text).cast("long") + OVERHEAD, "text_crc32": crc, "cell": (crc % cells).cast("int")}
 
 
 def cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
@@ -60,8 +61,10 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 1 << 14, keep: tuple[s
     groups = groups.select("cell", F.size(F.filter(at, lambda c: c <= F.col("cell"))).alias("shard"), F.ceil(F.col("rows") / most).alias("n_parts"))
     groups = groups.withColumn("shard", F.col("shard") - 1)
 
+    scattered = F.pmod(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.lit(1 << 31)) * 48271 % 2147483647
+
     def split(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(groups), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), "n_parts")).drop("n_parts")
+        return df.join(F.broadcast(groups), "cell").withColumn("part", scattered % F.col("n_parts")).drop("n_parts")
 
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = split(thin).groupBy("shard", "cell", "part").count().select("cell", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))

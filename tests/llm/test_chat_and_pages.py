@@ -61,14 +61,17 @@ def test_read_back(spark):
     assert digests(read_back(*prefix_tree(empty))).count() == 0
 
 
-def test_query_equals_its_sql(spark):
-    from quern.llm.queries import ORACLE, op1_chat_prefix_tree
-
-    con = duckdb.connect()
-    con.sql(f"create view conversations as select * from '{DATA}/conversations.parquet'")
-    want = con.sql(ORACLE["op1_chat_prefix_tree"])
-    got = op1_chat_prefix_tree(spark, DATA).select(*want.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+@pytest.mark.parametrize("name", ["op1_chat_prefix_tree", "op2_quality_rules", "op6_near_duplicates", "op10_sharding"])
+def test_query_equals_its_sql(spark, name):
+    from quern.llm.queries import ORACLE, QUERIES
+
+    con, d = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("conversations", "documents"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    want = con.sql(ORACLE[name])
+    got = QUERIES[name](spark, d)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
 def test_tokenizer_files_are_a_parameter(spark):
