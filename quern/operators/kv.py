@@ -49,9 +49,17 @@ def seek(log: DataFrame, key: str) -> DataFrame:
     return scan(log, low=key).limit(1)
 
 
-def versions(log: DataFrame) -> DataFrame:
-    """Every version with its number within the key, newest first."""
-    return log.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))))
+def versions(log: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Every version with its number within the key, newest first.
+
+    A key's versions are counted in spans of seq, so the versions of a key that holds a third of all rows are numbered
+    by many tasks.
+    """
+    log = log.withColumn("_span", F.floor(F.col("seq") / span))
+    later = Window.partitionBy("key").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    counts = log.groupBy("key", "_span").agg(F.count("*").alias("_n")).select("key", "_span", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("key", "_span").orderBy(F.desc("seq")))
+    return log.withColumn("_i", inside).join(counts, ["key", "_span"]).withColumn("version", F.col("_base") + F.col("_i")).drop("_span", "_i", "_base")
 
 
 def as_of(log: DataFrame, seq: Column | int) -> DataFrame:
@@ -66,19 +74,55 @@ def counts(log: DataFrame) -> DataFrame:
 
 
 def running_total(df: DataFrame, by: str, value: Column, block: int = 4096) -> DataFrame:
-    """Adds `total`, the running sum of value in the order of the whole number `by`: within blocks, plus the blocks before."""
+    """Adds `total`, the running sum of value in the order of the whole number `by`.
+
+    It is summed within blocks of `by`, over the blocks of a group of `block` blocks, and over groups: so only one row
+    for each block * block rows is ever in one task.
+    """
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({"_v": value, "_block": F.floor(F.col(by) / block)})
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    sums = df.groupBy("_block").agg(F.sum("_v").alias("_s")).select("_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    blocks = df.groupBy("_block").agg(F.sum("_v").alias("_s")).withColumn("_group", F.floor(F.col("_block") / block))
+    groups = blocks.groupBy("_group").agg(F.sum("_s").alias("_s")).select("_group", F.coalesce(F.sum("_s").over(before("_group")), F.lit(0)).alias("_far"))
+    near = F.coalesce(F.sum("_s").over(before("_group", "_block")), F.lit(0))
+    sums = blocks.withColumn("_near", near).join(groups, "_group").select("_block", (F.col("_far") + F.col("_near")).alias("_base"))
     inside = Window.partitionBy("_block").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.join(sums, "_block").withColumn("total", F.col("_base") + F.sum("_v").over(inside)).drop("_v", "_block", "_base")
 
 
+def assigned(writes: DataFrame, last_seq: int) -> DataFrame:
+    """writes(n, op, key, value) with seq: last_seq + 1 and on, in the order of the distinct whole numbers n."""
+    return running_total(writes, "n", F.lit(1).cast("bigint")).select((F.col("total") + last_seq).alias("seq"), "op", "key", F.when(F.col("op") == PUT, F.col("value")).alias("value"))
+
+
+def last_seq(log: DataFrame) -> int:
+    return log.agg(F.max("seq")).first()[0] or 0
+
+
+def append(path: str, writes: DataFrame) -> DataFrame:
+    """Puts (op 1) and deletes (op 2) of writes(n, op, key, value) go to the log at path in one commit; returns the whole log.
+
+    One writer at a time: its numbers follow the greatest seq that the log holds.
+    """
+    spark = writes.sparkSession
+    kinds = "seq bigint, op int, key string, value string"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    last = last_seq(spark.read.schema(kinds).parquet(path)) if there else 0
+    plain = assigned(writes, last).select(F.col("seq").cast("bigint"), F.col("op").cast("int"), F.col("key").cast("string"), F.col("value").cast("string"))
+    plain.write.mode("append").parquet(path)
+    return spark.read.schema(kinds).parquet(path)
+
+
+def entry_bytes(node: int = 64) -> Column:
+    """What an entry takes in memory: key and value in steps of eight bytes, and a node."""
+    aligned = lambda c: F.floor((F.octet_length(F.coalesce(c, F.lit(""))) + 7) / 8) * 8
+    return (aligned(F.col("key")) + aligned(F.col("value")) + node).cast("bigint")
+
+
 def generations(log: DataFrame, capacity: int, node: int = 64) -> DataFrame:
     """Adds generation: which memtable of `capacity` bytes an entry falls into (8-byte aligned key and value plus a node)."""
-    aligned = lambda c: F.floor((F.octet_length(F.coalesce(c, F.lit(""))) + 7) / 8) * 8
-    size = aligned(F.col("key")) + aligned(F.col("value")) + node
-    log = running_total(log.withColumn("bytes", size.cast("bigint")), "seq", size.cast("bigint"))
+    size = entry_bytes(node)
+    log = running_total(log.withColumn("bytes", size), "seq", size)
     return log.withColumn("generation", F.floor((F.col("total") - 1) / capacity).cast("bigint")).drop("total")
 
 
@@ -107,12 +151,41 @@ def overlaps(upper: DataFrame, lower: DataFrame) -> DataFrame:
     return u.join(low, meet).select(F.col("u.id").alias("id"), F.col("l.id").alias("other"))
 
 
+def level_to_compact(meta: DataFrame, files: int = 4, base: int = 10 << 20) -> DataFrame:
+    """(needed, level), one row: the lowest level over its limit; level 0 with needed false if there is none."""
+    hit = needs_compaction(meta, files, base).where("limit_hit").agg(F.min("level").alias("level"))
+    return hit.select(F.col("level").isNotNull().alias("needed"), F.coalesce("level", F.lit(0)).cast("int").alias("level"))
+
+
 def compact(log: DataFrame, target: int) -> DataFrame:
     """The merge of all versions into level `target`."""
     merged = newest(log)
     return merged.where(F.col("op") != DELETE) if target >= BOTTOM else merged
 
 
+def compaction_inputs(meta: DataFrame, level: int) -> DataFrame:
+    """The rows of meta that a compaction of `level` reads: its tables, and those of the next level in their whole key range."""
+    span = meta.where(F.col("level") == level).agg(F.min("smallest").alias("_low"), F.max("largest").alias("_high"))  # one row
+    near = (F.col("level") == level) | ((F.col("level") == level + 1) & (F.col("largest") >= F.col("_low")) & (F.col("smallest") <= F.col("_high")))
+    return meta.join(F.broadcast(span), F.lit(True)).where(F.col("_low").isNotNull() & near).drop("_low", "_high")
+
+
+def compact_level(meta: DataFrame, entries: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """meta(id, level, smallest, largest, entries, size) and entries(id, seq, op, key, value) after one compaction.
+
+    The inputs' newest versions become one table of the next level with the next id; the inputs go, the other tables
+    stay. Nothing changes at the deepest level, or where the level has no table.
+    """
+    inputs = compaction_inputs(meta, level).select("id")
+    if level >= BOTTOM or not inputs.limit(1).count():
+        return meta, entries
+    new_id = meta.agg(F.max("id")).first()[0] + 1
+    made = compact(entries.join(inputs, "id", "left_semi"), level + 1).select(F.lit(new_id).cast("bigint").alias("id"), "seq", "op", "key", "value")
+    sums = [F.min("key").alias("smallest"), F.max("key").alias("largest"), F.count("*").alias("entries"), F.sum(entry_bytes()).alias("size")]
+    row = made.groupBy("id").agg(*sums).select("id", F.lit(level + 1).alias("level"), "smallest", "largest", "entries", "size")
+    return meta.join(inputs, "id", "left_anti").select(*row.columns).unionByName(row), entries.join(inputs, "id", "left_anti").select(*made.columns).unionByName(made)
+
+
 def bloom_positions(keys: DataFrame, n_keys: int, bits_per_key: int = 10) -> DataFrame:
     """keys(key) to (key, bit): the bits of each key in a filter for n_keys keys."""
     bits = -(-max(64, n_keys * bits_per_key) // 8) * 8

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import kv
-from quern.plans.registry import query, table
-from quern.sources import wal
+from quern.plans.registry import query, shared_dir, table
+from quern.sources import table_file, wal
 
 KV = """kv AS (SELECT event_id AS seq, 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, props AS value FROM events)"""
 NEWEST = f"WITH {KV}, newest AS (SELECT key, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM kv GROUP BY key)"
@@ -137,13 +139,77 @@ def bloom_probe(spark, d):
     return kv.may_contain(stored, probes, stored.count())
 
 
+@query(f"{GENERATIONS}, lv AS (SELECT CAST(least(id - 2, 3) AS INTEGER) AS level, size FROM meta), hit AS (SELECT level FROM lv GROUP BY level HAVING CASE WHEN level = 0 THEN count(*) >= 1 ELSE sum(size) > 20000 * pow(10.0, level - 1) END) SELECT count(*) > 0 AS needed, CAST(coalesce(min(level) FILTER (level > 0), 0) AS INTEGER) AS level FROM hit WHERE level > 0")
+def compaction_level(spark, d):
+    """The one level to compact, among levels 1 to 3 with a small limit."""
+    meta = kv.flushed(log(spark, d), CAPACITY).select(F.least(F.col("id") - 2, F.lit(3)).cast("int").alias("level"), "size")
+    return kv.level_to_compact(meta.where("level > 0"), base=20000)
+
+
+# Odd tables stand at level 0, the others at level 1, of which the last third keeps out of the way.
+LEVELLED = f"{GENERATIONS}, tables AS (SELECT *, CASE WHEN id % 2 = 1 AND id < 9 THEN 0 WHEN id % 2 = 0 THEN 1 ELSE 2 END AS lv FROM meta), span AS (SELECT min(smallest) AS low, max(largest) AS high FROM tables WHERE lv = 0), ins AS (SELECT id FROM tables, span WHERE low IS NOT NULL AND (lv = 0 OR lv = 1 AND largest >= low AND smallest <= high)), made AS (SELECT key, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM gen WHERE generation + 2 IN (SELECT id FROM ins) GROUP BY key)"
+
+
+def levelled(spark, d):
+    entries = kv.generations(log(spark, d), CAPACITY).select((F.col("generation") + 2).alias("id"), "seq", "op", "key", "value")
+    level = F.when((F.col("id") % 2 == 1) & (F.col("id") < 9), 0).when(F.col("id") % 2 == 0, 1).otherwise(2)
+    return kv.flushed(log(spark, d), CAPACITY).withColumn("level", level), entries
+
+
+@query(f"{LEVELLED} SELECT id, CAST(lv AS INTEGER) AS level, smallest, largest, entries, size FROM tables WHERE id NOT IN (SELECT id FROM ins) UNION ALL SELECT (SELECT max(id) + 1 FROM meta), 1, min(key), max(key), count(*), CAST(sum((octet_length(encode(key)) + 7) // 8 * 8 + (octet_length(encode(coalesce(value, ''))) + 7) // 8 * 8 + 64) AS BIGINT) FROM made HAVING count(*) > 0")
+def compaction_catalog(spark, d):
+    """The tables after a compaction of level 0."""
+    return kv.compact_level(*levelled(spark, d), 0)[0]
+
+
+@query(f"{LEVELLED} SELECT generation + 2 AS id, seq, op, key, value FROM gen WHERE generation + 2 NOT IN (SELECT id FROM ins) UNION ALL SELECT (SELECT max(id) + 1 FROM meta), seq, op, key, value FROM made")
+def compaction_unit(spark, d):
+    """The entries of all tables after a compaction of level 0."""
+    return kv.compact_level(*levelled(spark, d), 0)[1]
+
+
+@query(f"WITH {KV}, two AS (SELECT n + k * (SELECT count(*) FROM kv) AS seq, op, key, CASE WHEN op = 1 THEN value END AS value FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM kv), (SELECT unnest([0, 1]) AS k)) SELECT seq, op, key, value FROM two")
+def kv_append(spark, d):
+    """Two commits of the same writes to a new log: numbers go on where the log ends."""
+    path = f"{shared_dir(spark)}/quern-log-{uuid.uuid4().hex}"
+    writes = log(spark, d).withColumnRenamed("seq", "n")
+    kv.append(path, writes)
+    return kv.append(path, writes)
+
+
+def as_text(df):
+    return df.withColumns({c: F.col(c).cast("string") for c in ("key", "value")})
+
+
 @query(f"WITH {KV} SELECT seq, op, key, coalesce(value, '') AS value, 25 + octet_length(encode(key)) + octet_length(encode(coalesce(value, ''))) AS record_bytes FROM kv")
 def wal_roundtrip(spark, d):
-    records = wal.encoded(log(spark, d))
-    back = wal.decoded(records)
+    back = as_text(wal.decoded(wal.encoded(log(spark, d))))
     return back.select("seq", "op", "key", "value", (F.lit(25) + F.octet_length("key") + F.octet_length("value")).cast("long").alias("record_bytes"))
 
 
+@query(f"WITH {KV} SELECT seq, op, key, coalesce(value, '') AS value FROM kv")
+def wal_padded(spark, d):
+    """Log files of a thousand records, in batches of 1 to 60 that are each filled up to whole pages."""
+    batch = F.floor(F.col("seq") / (1 + F.floor(F.col("seq") / 1000) % 60))
+    return as_text(wal.decoded(wal.batches(log(spark, d), batch, F.floor(F.col("seq") / 1000)), "data"))
+
+
 @query("SELECT count(*) AS records, max(event_id) AS max_seq FROM events")
 def wal_recover_stats(spark, d):
     return wal.decoded(wal.encoded(log(spark, d))).agg(F.count("*").alias("records"), F.max("seq").alias("max_seq"))
+
+
+def table_files(spark, d):
+    return table_file.images(kv.generations(log(spark, d), CAPACITY).withColumn("id", F.col("generation") + 2))
+
+
+@query(f"{GENERATIONS} SELECT generation + 2 AS id, seq, op, key, coalesce(value, '') AS value FROM gen")
+def sst_scan(spark, d):
+    """Every entry of the tables that flushes write, from the files' bytes."""
+    return as_text(table_file.scanned(table_files(spark, d)))
+
+
+@query(f"{GENERATIONS} SELECT generation + 2 AS id, max(seq) AS seq, arg_max(op, seq) AS op, coalesce(arg_max(coalesce(value, ''), seq), '') AS value FROM gen WHERE key = 'user:000007' GROUP BY generation")
+def sst_get(spark, d):
+    """The newest entry of one key in each table that holds it, from the files' bytes."""
+    return table_file.looked_up(table_files(spark, d), b"user:000007").withColumn("value", F.col("value").cast("string"))
