@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from quern.operators.kv import running_total
 
 
 def holds(key: Column, start: Column, end: Column) -> Column:
@@ -11,19 +16,37 @@ def holds(key: Column, start: Column, end: Column) -> Column:
     return (key >= start) & ((end == "") | (key < end))
 
 
-def route(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+def initial_range() -> list[tuple[int, str, str]]:
+    """(id, start_key, end_key) of a new cluster: one range that holds every key."""
+    return [(1, "", "")]
+
+
+def route(keys: DataFrame, ranges: DataFrame, pivots: int = 100_000) -> DataFrame:
     """keys(key) with range_id (null: no range holds it). ranges(id, start_key, end_key) don't overlap.
 
-    The ranges' starts and the keys are one ordered run; each key takes the last start at or before it.
-    Ranges are routing metadata (checked to be at most 100,000), so the search is over a broadcast sorted array.
+    Every n-th start is a pivot, so that there are at most `pivots`; they travel with the tasks. The range that holds a
+    key begins at or after the key's last pivot and before the next one, so keys and ranges meet by equality of pivots,
+    with n ranges each.
     """
-    n = ranges.count()
-    if n > 100_000:
-        raise ValueError("route() searches ranges in memory: at most 100,000")
-    listed = ranges.groupBy().agg(F.sort_array(F.collect_list(F.struct("start_key", "end_key", "id"))).alias("r"))
-    last = F.filter("r", lambda x: x["start_key"] <= F.col("key"))
-    both = keys.join(F.broadcast(listed), F.lit(True)).withColumn("hit", F.try_element_at(last, F.lit(-1)))
-    return both.select(*keys.columns, F.when(holds(F.col("key"), F.col("hit.start_key"), F.col("hit.end_key")), F.col("hit.id")).alias("range_id"))
+    step = max(1, -(-ranges.count() // pivots))
+    numbered = running_total(ranges.select("start_key").distinct().orderBy("start_key").withColumn("_n", F.monotonically_increasing_id()), "_n", F.lit(1)) if step > 1 else ranges.select("start_key").distinct().withColumn("total", F.lit(0))
+    starts = sorted(r["start_key"].encode() for r in numbered.where(F.col("total") % step == 0).select("start_key").collect())  # `pivots` at most
+
+    def located(df: DataFrame, column: str) -> DataFrame:
+        schema = StructType([*df.schema.fields, StructField("_pivot", LongType())])
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                at = [None if k is None else bisect_right(starts, k.encode()) for k in b.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=[*b.schema.names, "_pivot"])
+
+        return df.mapInArrow(run, schema)
+
+    own = located(ranges.select("id", "start_key", "end_key"), "start_key").withColumnsRenamed({"_pivot": "_at", "id": "range_id"})
+    both = located(keys, "key").join(own, (F.col("_pivot") == F.col("_at")) & holds(F.col("key"), F.col("start_key"), F.col("end_key")), "left")
+    return both.select(*keys.columns, "range_id")
 
 
 def split(ranges: DataFrame, range_id: int, key: str, new_id: int) -> DataFrame:
@@ -43,8 +66,31 @@ def liveness(beats: DataFrame, registered: DataFrame, now: Column, ttl_seconds:
 
 
 def next_ids(df: DataFrame, order: str, base: int) -> DataFrame:
-    """Adds id: base + 1, base + 2, ... in order. For metadata tables: one task numbers them."""
-    return df.withColumn("id", F.row_number().over(Window.orderBy(order)) + base)
+    """Adds id: base + 1, base + 2, ... in the order of the distinct whole numbers `order`."""
+    return running_total(df, order, F.lit(1).cast("bigint")).withColumn("id", F.col("total") + base).drop("total")
+
+
+def proposed(log: DataFrame, commands: DataFrame, term: int, leads: bool = True) -> DataFrame:
+    """log(idx, term, data) with commands(n, data) behind its last entry, in the order of n, under the leader's term."""
+    if not leads:
+        raise ValueError("only the leader takes commands")
+    last = log.agg(F.max("idx")).first()[0] or 0
+    new = next_ids(commands, "n", last).select(F.col("id").alias("idx"), F.lit(term).cast("bigint").alias("term"), "data")
+    return log.select("idx", "term", "data").unionByName(new)
+
+
+def proposed_for_keys(logs: DataFrame, terms: DataFrame, ranges: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """logs(range_id, idx) and terms(range_id, term) of the groups that run here; commands(n, key, data).
+
+    Returns (entries, refused): entries (range_id, idx, term, n, key, data) to append to each key's group, and commands
+    whose key is in no range, or whose group doesn't run here.
+    """
+    routed = route(commands, ranges).join(terms, "range_id", "left")
+    refused = routed.where("term is null").select("n", "key", "data")
+    last = logs.groupBy("range_id").agg(F.max("idx").alias("last"))
+    at = F.row_number().over(Window.partitionBy("range_id").orderBy("n"))  # what one group's leader takes in one batch
+    new = routed.where("term is not null").withColumn("_i", at).join(last, "range_id", "left")
+    return new.select("range_id", (F.coalesce("last", F.lit(0)) + F.col("_i")).alias("idx"), "term", "n", "key", "data"), refused
 
 
 def commit_index(log: DataFrame, match: DataFrame, term: int, committed: int, peers: int) -> DataFrame:

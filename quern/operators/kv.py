@@ -26,10 +26,10 @@ def tombstones(log: DataFrame) -> DataFrame:
 
 
 def get(log: DataFrame, key: str) -> DataFrame:
-    """(key, found, seq, op, value): one row; the filter on key reaches the scan."""
+    """(key, found, seq, op, value, raw): one row; the filter on key reaches the scan. raw: the value in base 64."""
     best = log.where(F.col("key") == key).agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"), F.max_by("value", "seq").alias("value"))
     found = F.coalesce(F.col("op") == PUT, F.lit(False))
-    return best.select(F.lit(key).alias("key"), found.alias("found"), "seq", "op", F.when(found, F.col("value")).alias("value"))
+    return best.select(F.lit(key).alias("key"), found.alias("found"), "seq", "op", F.when(found, F.col("value")).alias("value"), F.when(found, F.base64(F.col("value").cast("binary"))).alias("raw"))
 
 
 def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:

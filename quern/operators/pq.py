@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.distance import l2
+from quern.operators.vector import checked, query_blocks, ranked, tops
 
 
 def sub_vectors(vectors: DataFrame, parts: int, dim: int) -> DataFrame:
@@ -32,7 +35,7 @@ def assign(subs: DataFrame, codebook: DataFrame) -> DataFrame:
 
     A codebook is bounded (at most 256 centroids a part), so it travels with the tasks and numpy compares in blocks.
     """
-    rows = codebook.orderBy("m", "c").limit(1 << 16).toArrow().to_pylist()
+    rows = codebook.orderBy("m", "c").toArrow().to_pylist()  # `centroids` rows a part
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for m in {r["m"] for r in rows}:
         own = [r for r in rows if r["m"] == m]
@@ -63,20 +66,27 @@ def lloyd_step(subs: DataFrame, codebook: DataFrame) -> DataFrame:
 
 
 def train(vectors: DataFrame, parts: int = 8, dim: int = 64, centroids: int = 256, rounds: int = 25) -> DataFrame:
-    """Rounds of lloyd_step until nothing moves; lineage is cut each round (the codebook is small)."""
+    """Rounds of lloyd_step until nothing moves. Between rounds the codebook, at most `centroids` rows a part, is in the driver."""
     subs = sub_vectors(vectors, parts, dim)
     book = seeds(vectors, parts, dim, centroids)
-    can_cut = vectors.sparkSession.sparkContext.getCheckpointDir()
+    rows = book.orderBy("m", "c").collect()
     for _ in range(rounds):
-        after = lloyd_step(subs, book)
-        after = after.checkpoint() if can_cut else after.cache()
-        moved = after.alias("a").join(book.alias("b"), ["m", "c"]).where("a.centroid <> b.centroid").limit(1).count()
-        book = after
+        after = lloyd_step(subs, book).orderBy("m", "c").collect()
+        moved = after != rows
+        rows, book = after, vectors.sparkSession.createDataFrame(after, "m int, c int, centroid array<double>")
         if not moved:
             break
     return book
 
 
+def points(codebook: DataFrame) -> dict[int, np.ndarray]:
+    """The centroids of each part, in the order of their numbers: at most `centroids` rows a part."""
+    out: dict[int, list] = {}
+    for r in codebook.orderBy("m", "c").collect():
+        out.setdefault(r["m"], []).append(r["centroid"])
+    return {m: np.array(p, float) for m, p in out.items()}
+
+
 def encode(vectors: DataFrame, codebook: DataFrame, parts: int = 8, dim: int = 64) -> DataFrame:
     """(vec_id, codes): one centroid number for each part."""
     owned = assign(sub_vectors(vectors, parts, dim), codebook)
@@ -86,12 +96,24 @@ def encode(vectors: DataFrame, codebook: DataFrame, parts: int = 8, dim: int = 6
 def distance_table(queries: DataFrame, codebook: DataFrame, parts: int = 8, dim: int = 64) -> DataFrame:
     """queries(query_id, embedding) to (query_id, m, c, d)."""
     subs = sub_vectors(queries.withColumnRenamed("query_id", "vec_id"), parts, dim)
-    return subs.join(F.broadcast(codebook), "m").select(F.col("vec_id").alias("query_id"), "m", "c", l2(F.col("sub"), F.col("centroid")).alias("d"))
+    return subs.join(F.broadcast(codebook), "m").select(F.col("vec_id").alias("query_id"), "m", "c", l2(F.col("sub"), F.col("centroid")).alias("d"))  # a codebook has at most `centroids` rows a part
+
+
+def adc(queries: DataFrame, codebook: DataFrame, codes: DataFrame, k: int, parts: int = 8, dim: int = 64) -> DataFrame:
+    """The k nearest by the sum over parts of unsquared distances: (query_id, vec_id, distance, rank).
+
+    A block of queries' distance tables travels with the tasks, which look codes up and keep their best k.
+    """
+    book, width = points(codebook), dim // parts
+
+    def found(ids, q):
+        table = np.stack([np.sqrt(((q[:, None, m * width : (m + 1) * width] - book[m]) ** 2).sum(axis=2)) for m in range(parts)], axis=1)
+
+        def score(b):
+            code = np.array(b.column("codes").to_pylist(), np.int64).reshape(-1, parts)
+            return sum(table[:, m, code[:, m]] for m in range(parts))
 
+        return tops(codes.select(F.col("vec_id").cast("bigint"), "codes"), ids, score, k)
 
-def adc(table: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    """The k nearest by the sum over parts of unsquared distances from table: (query_id, vec_id, distance, rank)."""
-    part = codes.select("vec_id", F.posexplode("codes").alias("m", "c"))
-    sums = part.join(table, ["m", "c"]).groupBy("query_id", "vec_id").agg(F.sum("d").alias("distance"))
-    best = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id")
-    return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    blocks = query_blocks(checked(queries, dim)[0], dim)
+    return ranked(reduce(DataFrame.unionByName, (found(*block) for block in blocks)), k)

@@ -1,9 +1,14 @@
-"""Nearest neighbours: exact in numpy blocks, by inverted lists, by random-hyperplane buckets and over a layered graph."""
+"""Nearest neighbours: exact in numpy blocks, by inverted lists of codes, by random-hyperplane sketches and over layered graphs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
+from heapq import heapify, heappop, heappush
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import fnv32
@@ -26,42 +31,62 @@ def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in q])) if len(q) else np.empty((0, len(x)))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", dim: int = 64) -> DataFrame:
-    """queries(query_id, embedding) against vectors(vec_id, embedding): (query_id, vec_id, distance, rank).
+def dimension(queries: DataFrame) -> int:
+    """The length of the first query's vector, by query_id; 0 without one."""
+    return queries.where(F.size("embedding") > 0).agg(F.min_by(F.size("embedding"), "query_id")).first()[0] or 0
 
-    Each task keeps the best k of its own rows for each query, so k rows for each query and task are shuffled, not
-    all pairs. A block of queries travels with the tasks; blocks of at most QUERY_BLOCK are dealt over passes.
-    """
-    vectors, queries = checked(vectors, dim)[0], checked(queries, dim)[0]
-    n = queries.count()
-    parts = -(-n // QUERY_BLOCK) or 1
-    tops = None
+
+def query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of queries(query_id, embedding), at most about QUERY_BLOCK at a time; one empty block without any."""
+    parts = -(-queries.count() // QUERY_BLOCK) or 1
     for part in range(parts):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "embedding").toArrow().to_pylist()  # a block of queries
-        ids, q = [r["query_id"] for r in own], np.array([r["embedding"] for r in own], float).reshape(-1, dim)
+        yield np.array([r["query_id"] for r in own], np.int64), np.array([r["embedding"] for r in own], float).reshape(-1, dim)
+
+
+def tops(rows: DataFrame, ids: np.ndarray, score: Callable, k: int) -> DataFrame:
+    """rows(vec_id, ...) to (query_id, vec_id, distance): each task's k rows of the least score for each query.
+
+    score makes a matrix (queries, rows) of an Arrow batch. So k rows for each query and task are shuffled, not all pairs.
+    """
+
+    def search(batches):
+        import pyarrow as pa
+
+        near, best = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        for b in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
+            d = np.concatenate([near, score(b)], axis=1)
+            at = np.concatenate([best, np.broadcast_to(np.array(b.column("vec_id").to_pylist(), np.int64), (len(ids), b.num_rows))], axis=1)
+            order = np.lexsort((at, d.round(9)), axis=-1)[:, :k]
+            near, best = np.take_along_axis(d, order, 1), np.take_along_axis(at, order, 1)
+        columns = [np.repeat(ids, near.shape[1]), best.ravel(), near.ravel()]
+        good = np.isfinite(columns[2])
+        yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in columns], names=["query_id", "vec_id", "distance"])
+
+    return rows.mapInArrow(search, "query_id bigint, vec_id bigint, distance double")
 
-        def search(batches, ids=ids, q=q):
-            import pyarrow as pa
 
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for b in batches:
-                vec = b.column("vec_id").to_pylist()
-                x = np.array(b.column("embedding").to_pylist(), float).reshape(-1, dim)
-                d = distances(metric, q, x)
-                near = np.argpartition(d, min(k, len(vec)) - 1, axis=1)[:, : 2 * k] if len(vec) > 2 * k else None
-                for i in range(len(ids)):
-                    if near is not None:
-                        limit = d[i, near[i, min(k, len(vec)) - 1]] + 1e-9
-                        at = np.flatnonzero(d[i] <= limit)
-                    else:
-                        at = range(len(vec))
-                    best[i] = sorted(best[i] + [(float(d[i, j]), vec[j]) for j in at], key=lambda t: (round(t[0], 9), t[1]))[:k]
-            rows = [(i, v, d) for i, own in zip(ids, best, strict=True) for d, v in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "vec_id", "distance"])
-
-        found = vectors.select("vec_id", "embedding").mapInArrow(search, "query_id bigint, vec_id bigint, distance double")
-        tops = found if tops is None else tops.unionByName(found)
-    return ranked(tops, k)
+def _union(parts) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", dim: int | None = None) -> DataFrame:
+    """queries(query_id, embedding) against vectors(vec_id, embedding): (query_id, vec_id, distance, rank).
+
+    Vectors of another length than dim (that of the first query, if none is given) are left out. Each task keeps the
+    best k of its own rows for each query. A block of queries travels with the tasks; blocks are dealt over passes.
+    """
+    dim = dim or dimension(queries)
+    vectors, queries = checked(vectors, dim)[0].select(F.col("vec_id").cast("bigint"), "embedding"), checked(queries, dim)[0]
+    found = (tops(vectors, ids, lambda b, q=q: distances(metric, q, np.array(b.column("embedding").to_pylist(), float).reshape(-1, dim)), k) for ids, q in query_blocks(queries, dim))
+    return ranked(_union(found), k)
+
+
+def reranked(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, distance) -> DataFrame:
+    """found(query_id, vec_id) with exact distances, to the best k of each query."""
+    q = queries.select("query_id", F.col("embedding").alias("q"))
+    both = found.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(q, "query_id")
+    return ranked(both.select("query_id", "vec_id", distance(F.col("q"), F.col("embedding")).alias("distance")), k)
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -94,64 +119,228 @@ def centroids(vectors: DataFrame, lists: int, train_rows: int = 20_000, rounds:
     return c
 
 
-def in_lists(vectors: DataFrame, c: np.ndarray, probes: int, id_col: str) -> DataFrame:
-    """Adds list: the `probes` nearest lists of each vector, a row for each."""
+def ivf(codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, c: np.ndarray, probes: int, book: dict[int, np.ndarray], distance, rerank: int = 200) -> DataFrame:
+    """Approximate kNN by inverted lists and compressed vectors.
+
+    codes(vec_id, list, codes) is the index: each vector's nearest list, and its code in every part. A query looks into
+    `probes` lists, adds up distances to codes from its own table, and gets exact distances of the `rerank` closest: so
+    vectors themselves are read for `rerank` rows a query. book: the centroids of each part, by number.
+    """
+    dim = c.shape[1]
+    width = dim // len(book)
+    asked = checked(queries, dim)[0]
+
+    def found(ids, q):
+        table = np.stack([((q[:, None, m * width : (m + 1) * width] - points) ** 2).sum(axis=2) for m, points in sorted(book.items())], axis=1) if len(q) else np.zeros((0, len(book), 1))
+        near = np.argsort((c**2).sum(1) - 2 * q @ c.T, axis=1)[:, :probes]
+        open_lists = np.zeros((len(q), len(c)), bool)
+        open_lists[np.arange(len(q))[:, None], near] = True
+
+        def score(b):
+            code = np.array(b.column("codes").to_pylist(), np.int64).reshape(-1, len(book))
+            d = sum(table[:, m, code[:, m]] for m in range(len(book)))
+            return np.where(open_lists[:, np.array(b.column("list").to_pylist(), np.int64)], d, np.inf)
+
+        return tops(codes, ids, score, rerank)
+
+    best = ranked(_union(found(*block) for block in query_blocks(asked, dim)), rerank)
+    return reranked(best, vectors, asked, k, distance)
+
+
+def listed(vectors: DataFrame, c: np.ndarray) -> DataFrame:
+    """vectors(vec_id, embedding) to (vec_id, list): the nearest of the centroids c."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             x = np.array(b.column("embedding").to_pylist(), float).reshape(-1, c.shape[1])
-            near = np.argsort(((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)), axis=1)[:, :probes]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("embedding"), pa.array(near.tolist(), pa.list_(pa.int64()))], names=[id_col, "embedding", "lists"])
+            near = ((c**2).sum(1) - 2 * x @ c.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(near.astype(np.int32))], names=["vec_id", "list"])
 
-    out = vectors.select(F.col(id_col).cast("bigint"), F.col("embedding").cast("array<double>")).mapInArrow(run, f"{id_col} bigint, embedding array<double>, lists array<bigint>")
-    return out.select(id_col, "embedding", F.explode("lists").alias("list"))
+    return checked(vectors, c.shape[1])[0].select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "vec_id bigint, list int")
 
 
-def _compared(pairs: DataFrame, k: int, distance) -> DataFrame:
-    return ranked(pairs.select("query_id", "vec_id", distance(F.col("q"), F.col("embedding")).alias("distance")).dropDuplicates(["query_id", "vec_id"]), k)
+def sketches(vectors: DataFrame, id_col: str, bits: int = 256, dim: int = 64, seed: int = 7) -> DataFrame:
+    """(id_col, sketch): signs of `bits` random projections, eight to a byte."""
+    w = np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, bits))
 
+    def run(batches):
+        import pyarrow as pa
 
-def ivf(vectors: DataFrame, queries: DataFrame, k: int, c: np.ndarray, probes: int, distance) -> DataFrame:
-    """Approximate kNN: every vector is in its nearest list, each query looks into `probes` lists."""
-    lists = in_lists(vectors, c, 1, "vec_id")
-    asked = in_lists(queries, c, probes, "query_id").withColumnRenamed("embedding", "q")
-    return _compared(asked.join(lists, "list"), k, distance)
+        for b in batches:
+            x = np.array(b.column("embedding").to_pylist(), float).reshape(-1, dim)
+            packed = np.packbits(x @ w > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([r.tobytes() for r in packed], pa.binary())], names=[id_col, "sketch"])
 
+    return checked(vectors, dim)[0].select(F.col(id_col).cast("bigint"), "embedding").mapInArrow(run, f"{id_col} bigint, sketch binary")
 
-def planes(vectors: DataFrame, tables: int, bits: int, dim: int = 64, seed: int = 7) -> Column:
-    """An array with one bucket for each table: signs of random projections."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    w = rng.standard_normal((tables, bits, dim))
-    dot = lambda row: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, row.tolist())), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
-    return F.array(*(sum((F.when(dot(w[t, i]) > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(bits)), F.lit(t << bits)) for t in range(tables)))
 
+def lsh(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, distance, bits: int = 256, dim: int = 64, rerank: int = 200) -> DataFrame:
+    """Approximate kNN by random hyperplanes: index is sketches(vectors, "vec_id").
 
-def lsh(vectors: DataFrame, queries: DataFrame, k: int, distance, tables: int = 24, bits: int = 4, dim: int = 64) -> DataFrame:
-    """Approximate kNN over buckets of random hyperplanes."""
-    own = vectors.select("vec_id", "embedding", F.explode(planes(vectors, tables, bits, dim)).alias("bucket"))
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(planes(queries, tables, bits, dim)).alias("bucket"))
-    ids = asked.select("query_id", "bucket").join(own.select("vec_id", "bucket"), "bucket").select("query_id", "vec_id").distinct()
-    return _compared(ids.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id"), k, distance)
+    The `rerank` rows whose sketches differ least from a query's get exact distances. Sketches are compared in blocks
+    inside tasks, so there are no buckets that could be hot, and no pairs.
+    """
+    asked = checked(queries, dim)[0]
+    w = np.random.Generator(np.random.PCG64(7)).standard_normal((dim, bits))
+    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
+    def found(ids, q):
+        own = np.packbits(q @ w > 0, axis=1)
 
-def cell_graph(cells: DataFrame, m: int, distance) -> DataFrame:
-    """cells(vec_id, embedding, cell) to (query_id, vec_id, distance, rank): the m nearest of each node within its cell."""
-    a = cells.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "cell")
-    near = a.join(cells, "cell").where("query_id <> vec_id")
-    return ranked(near.select("query_id", "vec_id", distance(F.col("q"), F.col("embedding")).alias("distance")), m)
+        def score(b):
+            x = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, bits // 8)
+            return np.stack([ones[x ^ v].sum(axis=1) for v in own]).astype(float) if len(own) else np.zeros((0, len(x)))
 
+        return tops(index, ids, score, rerank)
 
-def beam(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries: DataFrame, k: int, distance, ef: int = 64, steps: int = 6) -> DataFrame:
-    """Best-first search over graph(query_id, vec_id), a frontier join a step: from entries(vec_id), keep the ef closest."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    links = graph.select(F.col("query_id").alias("at"), F.col("vec_id").alias("to"))
-    links = links.unionByName(links.select(F.col("to").alias("at"), F.col("at").alias("to"))).distinct()
-    pool = q.select("query_id").join(entries.select("vec_id"), F.lit(True))
-    for _ in range(steps):
-        wider = pool.join(links, pool["vec_id"] == links["at"]).select("query_id", F.col("to").alias("vec_id"))
-        pool = pool.select("query_id", "vec_id").unionByName(wider).distinct()
-        pool = ranked(pool.join(q, "query_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", distance(F.col("q"), F.col("embedding")).alias("distance")), ef)
-        pool = pool.checkpoint() if pool.sparkSession.sparkContext.getCheckpointDir() else pool
-    return pool.where(F.col("rank") <= k)
+    best = ranked(_union(found(*block) for block in query_blocks(asked, dim)), rerank)
+    return reranked(best, vectors, asked, k, distance)
+
+
+def cell_graph(cells: DataFrame, m: int, metric: str = "l2", block: int = 2048) -> DataFrame:
+    """cells(vec_id, embedding, cell) to (query_id, vec_id, distance, rank): the m nearest of each node within its cell.
+
+    A cell is cut into blocks by a hash, and each pair of blocks is one task's work, of which m rows for each node leave.
+    """
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("_parts"))
+    at = cells.join(sizes, "cell").withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.col("_parts")))
+    at = at.select(F.col("vec_id").cast("bigint"), "embedding", "cell", "_part", F.explode(F.expr("transform(sequence(0, _parts - 1), j -> struct(_part as x, j as y, 'a' as side))")).alias("p"))
+    both = at.select("vec_id", "embedding", "cell", "p.x", "p.y", "p.side").unionByName(at.select("vec_id", "embedding", "cell", F.col("p.y").alias("x"), F.col("p.x").alias("y"), F.lit("b").alias("side")))
+
+    def near(t):
+        import pyarrow as pa
+
+        side = np.array(t.column("side").to_pylist())
+        ids, x = np.array(t.column("vec_id").to_pylist(), np.int64), np.array(t.column("embedding").to_pylist(), float)
+        a, b = np.flatnonzero(side == "a"), np.flatnonzero(side == "b")
+        d = distances(metric, x[a], x[b]) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        d[ids[a][:, None] == ids[b][None, :]] = np.inf
+        order = np.lexsort((np.broadcast_to(ids[b], d.shape), d.round(9)), axis=-1)[:, :m]
+        columns = [np.repeat(ids[a], order.shape[1]), ids[b][order].ravel(), np.take_along_axis(d, order, 1).ravel()]
+        good = np.isfinite(columns[2])
+        return pa.table({n: pa.array(c[good]) for n, c in zip(("query_id", "vec_id", "distance"), columns, strict=True)})
+
+    return ranked(both.groupBy("cell", "x", "y").applyInArrow(near, "query_id bigint, vec_id bigint, distance double"), m)
+
+
+@dataclass
+class Graph:
+    """A navigable graph in layers. links[i][l]: the neighbours of node i in layer l, at most m (2 * m in layer 0)."""
+
+    x: np.ndarray
+    metric: str = "l2"
+    m: int = 16
+    ef_build: int = 128
+    links: list[list[list[int]]] = field(default_factory=list)
+    entry: int = -1
+    seen: int = 0
+
+    def far(self, q: np.ndarray, nodes: list[int]) -> list[float]:
+        self.seen += len(nodes)
+        return distances(self.metric, q[None], self.x[nodes])[0].tolist()
+
+    def walk(self, q: np.ndarray, start: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
+        """The ef closest that a best-first search finds from `start`, closest first."""
+        seen = {i for _, i in start}
+        ahead, best = sorted(start), sorted((-d, i) for d, i in start)
+        heapify(ahead)
+        heapify(best)
+        while ahead:
+            d, i = heappop(ahead)
+            if len(best) >= ef and d > -best[0][0]:
+                break
+            fresh = [j for j in self.links[i][layer] if j not in seen]
+            seen.update(fresh)
+            for e, j in zip(self.far(q, fresh), fresh, strict=True) if fresh else ():
+                if len(best) < ef or e < -best[0][0]:
+                    heappush(ahead, (e, j))
+                    heappush(best, (-e, j))
+                    if len(best) > ef:
+                        heappop(best)
+        return sorted((-d, i) for d, i in best)
+
+    def descend(self, q: np.ndarray, layer: int) -> list[tuple[float, int]]:
+        """From the entry down to above `layer`, always to the closest neighbour."""
+        at = [(self.far(q, [self.entry])[0], self.entry)]
+        for above in range(len(self.links[self.entry]) - 1, layer, -1):
+            at = self.walk(q, at, 1, above)
+        return at
+
+    def insert(self, i: int, level: int) -> None:
+        """Node i (the next one) joins layers 0 to level: linked to its m closest there, and they to it; links over the limit go."""
+        self.links.append([[] for _ in range(level + 1)])
+        if self.entry < 0:
+            self.entry = i
+            return
+        top = len(self.links[self.entry]) - 1
+        at = self.descend(self.x[i], min(level, top))
+        for layer in range(min(level, top), -1, -1):
+            at = self.walk(self.x[i], at, self.ef_build, layer)
+            most = self.m if layer else 2 * self.m
+            self.links[i][layer] = [j for _, j in at[:most]]
+            for _, j in at[:most]:
+                own = self.links[j][layer]
+                own.append(i)
+                if len(own) > most:
+                    self.links[j][layer] = [n for _, n in sorted(zip(self.far(self.x[j], own), own, strict=True))[:most]]
+        if level > top:
+            self.entry = i
+
+    def search(self, q: np.ndarray, k: int, ef: int = 64) -> list[tuple[float, int]]:
+        return self.walk(q, self.descend(q, 0), max(ef, k), 0)[:k] if self.entry >= 0 and k > 0 else []
+
+
+HNSW = "shard int, vec_id bigint, embedding array<double>, place int, links array<array<bigint>>, entry boolean"
+
+
+def hnsw(vectors: DataFrame, dim: int = 64, metric: str = "l2", m: int = 16, ef_build: int = 128, shard_rows: int = 20_000) -> DataFrame:
+    """vectors(vec_id, embedding) to stored graphs: rows (shard, vec_id, embedding, place, links by layer, entry).
+
+    Vectors are dealt to shards of about shard_rows by a hash, and each shard is one graph, built in one task by
+    insertion in a hashed order; levels are drawn from a hash of the id. A search asks every shard.
+    """
+    good = checked(vectors, dim)[0]
+    shards = max(1, -(-good.count() // shard_rows))
+    drawn = good.join(levels(good, m=m), "vec_id").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"), "level", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("vec_id", F.lit(1)).alias("turn"))
+
+    def build(key, t):
+        import pyarrow as pa
+
+        rows = t.sort_by([("turn", "ascending"), ("vec_id", "ascending")])
+        ids = rows.column("vec_id").to_pylist()
+        g = Graph(np.array(rows.column("embedding").to_pylist(), float).reshape(-1, dim), metric, m, ef_build)
+        for i, level in enumerate(rows.column("level").to_pylist()):
+            g.insert(i, level)
+        links = [[[ids[j] for j in layer] for layer in own] for own in g.links]
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(ids), pa.int32()), "vec_id": rows.column("vec_id"), "embedding": rows.column("embedding"), "place": pa.array(range(len(ids)), pa.int32()), "links": pa.array(links, pa.list_(pa.list_(pa.int64()))), "entry": pa.array([i == g.entry for i in range(len(ids))])})
+
+    return drawn.groupBy("shard").applyInArrow(build, HNSW)
+
+
+def hnsw_search(graphs: DataFrame, queries: DataFrame, k: int, dim: int = 64, metric: str = "l2", ef: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(found, work): the k closest by descent and beam search in every shard's graph; work(query_id, compared): rows compared."""
+    asked = checked(queries, dim)[0]
+
+    def found(qids, q):
+        def run(key, t):
+            import pyarrow as pa
+
+            rows = t.sort_by("place")
+            ids = rows.column("vec_id").to_pylist()
+            at = {v: i for i, v in enumerate(ids)}
+            g = Graph(np.array(rows.column("embedding").to_pylist(), float).reshape(-1, dim), metric)
+            g.links = [[[at[j] for j in layer] for layer in own] for own in rows.column("links").to_pylist()]
+            g.entry = rows.column("entry").to_pylist().index(True)
+            out = []
+            for i, v in zip(qids.tolist(), q, strict=True):
+                g.seen = 0
+                hits = g.search(v, k, ef)
+                out += [(i, ids[j], d, g.seen if n == 0 else 0) for n, (d, j) in enumerate(hits)]
+            return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "distance": pa.array([r[2] for r in out], pa.float64()), "compared": pa.array([r[3] for r in out], pa.int64())})
+
+        return graphs.groupBy("shard").applyInArrow(run, "query_id bigint, vec_id bigint, distance double, compared bigint")
+
+    every = _union(found(*block) for block in query_blocks(asked, dim))
+    return ranked(every.drop("compared"), k), every.groupBy("query_id").agg(F.sum("compared").alias("compared"))

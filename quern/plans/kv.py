@@ -41,7 +41,7 @@ def kv_latest_large(spark, d):
     return kv.newest(big_log(spark, d)).where("op = 1")
 
 
-@query(f"WITH {KV} SELECT 'user:000007' AS key, coalesce(arg_max(op, seq) = 1, false) AS found, max(seq) AS seq, arg_max(op, seq) AS op, CASE WHEN arg_max(op, seq) = 1 THEN arg_max(value, seq) END AS value FROM kv WHERE key = 'user:000007'")
+@query(f"WITH {KV} SELECT 'user:000007' AS key, coalesce(arg_max(op, seq) = 1, false) AS found, max(seq) AS seq, arg_max(op, seq) AS op, CASE WHEN arg_max(op, seq) = 1 THEN arg_max(value, seq) END AS value, CASE WHEN arg_max(op, seq) = 1 THEN to_base64(encode(arg_max(value, seq))) END AS raw FROM kv WHERE key = 'user:000007'")
 def kv_point_get(spark, d):
     return kv.get(log(spark, d), "user:000007")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions.distance import METRICS
 from quern.functions.text import STOP_WORDS
 from quern.operators import embed, fulltext, fusion, pq, vector
-from quern.plans.registry import query, table
+from quern.plans.registry import query, shared_dir, stored, table
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 TOKENS = f"list_filter(regexp_split_to_array(lower(translate(coalesce(text, ''), 'İΣ', 'iσ')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: octet_length(encode(w)) > 1 AND w NOT IN ({STOP}))"
@@ -53,6 +54,18 @@ def one_query(spark, text):
     return spark.createDataFrame([(1, text)], "query_id bigint, text string")
 
 
+_corpora: dict[tuple[str, str], fusion.Hybrid] = {}
+
+
+def corpus(spark, d) -> fusion.Hybrid:
+    """The documents' text index, embeddings and texts, stored once a session for all queries that search them."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _corpora:
+        made = fusion.Hybrid(fulltext.Index(spark, f"{shared_dir(spark)}/quern-corpus-{uuid.uuid4().hex}"))
+        _corpora[key] = made.add(table(spark, d, "documents").select("doc_id", "text"))
+    return _corpora[key]
+
+
 def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -76,13 +89,25 @@ def items(spark, d):
 
 @query(f"WITH {bm25_sql(ITEMS, 5)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sparse")
 def bm25_batch(spark, d):
-    return rounded(fulltext.bm25(table(spark, d, "documents"), items(spark, d), 5), "score")
+    return rounded(corpus(spark, d).index.search(items(spark, d), 5), "score")
 
 
 @query(f"WITH {bm25_sql(ITEMS, 1)} SELECT query_id, sparse.doc_id, documents.text FROM sparse JOIN documents ON documents.doc_id = sparse.doc_id")
 def doc_lookup(spark, d):
-    docs = table(spark, d, "documents")
-    return fusion.with_text(fulltext.bm25(docs, items(spark, d), 1).select("query_id", "doc_id"), docs).select("query_id", "doc_id", "text")
+    own = corpus(spark, d)
+    return fusion.with_text(own.index.search(items(spark, d), 1).select("query_id", "doc_id"), own.texts()).select("query_id", "doc_id", "text")
+
+
+UPSERTED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, length(text) // 2) WHEN doc_id % 3 = 1 THEN '' ELSE text END AS text FROM documents)"
+
+
+@query(f"WITH {bm25_sql(ITEMS, 5).replace('FROM documents', 'FROM ' + UPSERTED)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sparse")
+def bm25_upsert(spark, d):
+    """An index after a second version of two thirds of the documents: half a text, or none."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = fulltext.Index(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}").add(docs)
+    again = docs.where("doc_id % 3 < 2").select("doc_id", F.expr("if(doc_id % 3 = 0, substr(text, 1, length(text) div 2), '')").alias("text"))
+    return rounded(index.add(again).search(items(spark, d), 5), "score")
 
 
 # ---- vectors: queries are the rows whose id is divisible by 20
@@ -158,30 +183,49 @@ def hnsw_levels(spark, d):
 def knn_graph(spark, d):
     """Links of each node to the 8 nearest in its cell; the label is the cell."""
     cells = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").alias("cell"))
-    return rounded(vector.cell_graph(cells, 8, METRICS["l2"]), "distance")
+    return rounded(vector.cell_graph(cells, 8), "distance")
+
+
+def measured(spark, d, found, compared):
+    """(query_id, recall, compared): the share of the exact ten that was found, and of all rows that got exact distances."""
+    v, q = vectors(spark, d), asked(spark, d)
+    return vector.recall(found, vector.knn(v, q, 10)).join(compared, "query_id").select("query_id", "recall", F.round(F.col("compared") / F.lit(v.count()), 4).alias("compared"))
 
 
 @query()
 def ann_ivf(spark, d):
     v, q = vectors(spark, d), asked(spark, d)
-    found = vector.ivf(v, q, 10, vector.centroids(v, 16), 13, METRICS["l2"])
-    return vector.recall(found, vector.knn(v, q, 10))
+    c = vector.centroids(v, 16)
+    book = stored(pq.train(v, rounds=10), "codebook")
+    codes = stored(pq.encode(v, book).join(vector.listed(v, c), "vec_id"), "codes")
+    return measured(spark, d, vector.ivf(codes, v, q, 10, c, 13, pq.points(book), METRICS["l2"]), q.select("query_id", F.lit(200).alias("compared")))
 
 
 @query()
 def ann_lsh_recall(spark, d):
     v, q = vectors(spark, d), asked(spark, d)
-    return vector.recall(vector.lsh(v, q, 10, METRICS["l2"]), vector.knn(v, q, 10))
+    index = stored(vector.sketches(v, "vec_id"), "sketches")
+    return measured(spark, d, vector.lsh(index, v, q, 10, METRICS["l2"]), q.select("query_id", F.lit(200).alias("compared")))
+
+
+def graphs(spark, d):
+    return stored(vector.hnsw(vectors(spark, d), shard_rows=1000), "graphs")
 
 
 @query()
 def hnsw_beam(spark, d):
-    """Beam search over the cells' graph, from the least id of each cell."""
-    cells = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").alias("cell"))
-    graph = vector.cell_graph(cells, 8, METRICS["l2"])
-    entries = cells.groupBy("cell").agg(F.min("vec_id").alias("vec_id"))
-    v, q = vectors(spark, d), asked(spark, d)
-    return vector.recall(vector.beam(graph, v, q, entries, 10, METRICS["l2"], steps=4), vector.knn(v, q, 10))
+    return measured(spark, d, *vector.hnsw_search(graphs(spark, d), asked(spark, d), 10))
+
+
+LEVELS = f"SELECT vec_id, CAST(least(16, floor(-ln(({FNV32} + 0.5) / 4294967296.0) / ln(16.0))) AS INTEGER) AS level FROM (SELECT vec_id, CAST(vec_id AS VARCHAR) AS s FROM embeddings)"
+
+
+@query(f"WITH lv AS ({LEVELS}) SELECT CAST(layer AS INTEGER) AS layer, count(*) AS n_nodes, true AS within_limit, true AS linked FROM lv, (SELECT unnest(range(17)) AS layer) WHERE layer <= level GROUP BY layer")
+def hnsw_layers(spark, d):
+    """Nodes of each layer of the built graphs; whether none has too many links, and none in layer 0 has none."""
+    each = graphs(spark, d).select("vec_id", F.posexplode("links").alias("layer", "own"))
+    most = F.when(F.col("layer") == 0, 32).otherwise(16)
+    return each.groupBy("layer").agg(F.count("*").alias("n_nodes"), F.bool_and(F.size("own") <= most).alias("within_limit"), F.bool_and((F.size("own") > 0) | (F.col("layer") > 0)).alias("linked"))
 
 
 # ---- product quantization: 8 parts of 8 dimensions, seeded by the 256 least ids
@@ -212,58 +256,64 @@ def pq_distance_table(spark, d):
 def pq_adc_topk(spark, d):
     v = vectors(spark, d)
     book = pq.seeds(v, 8, 64)
-    return rounded(pq.adc(pq.distance_table(asked(spark, d), book), pq.encode(v, book), 10), "distance")
+    return rounded(pq.adc(asked(spark, d), book, pq.encode(v, book), 10), "distance")
 
 
 @query()
 def pq_train(spark, d):
-    return pq.train(vectors(spark, d), rounds=5)
+    return pq.train(vectors(spark, d))
 
 
 # ---- fusion
 
 
+def grams_sql(source: str) -> str:
+    """b: the weight of each slot that a text of source(doc_id, text) has."""
+    return GRAMS.replace("FROM documents", f"FROM {source}")
+
+
+CLEAN = r"regexp_replace(lower(translate(coalesce(text, ''), 'İΣ', 'iσ')), '^[\t-\r \x{85}\p{Z}]+|[\t-\r \x{85}\p{Z}]+$', '', 'g')"
+GRAMS = rf"""c AS (SELECT doc_id, {CLEAN} AS c FROM documents), w AS (SELECT doc_id, c, list_filter(regexp_split_to_array(c, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') AS w FROM c),
+g AS (SELECT doc_id, unnest(w) AS s, 1.0 AS x FROM w
+ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), 1.5 FROM w
+ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2])), 2.0 FROM w
+ UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(c) - 2), lambda i: substr(c, CAST(i AS BIGINT), 3))), 0.5 FROM w),
+u AS (SELECT s, {{hash}} % 128 AS slot FROM (SELECT DISTINCT s FROM g)),
+b AS (SELECT doc_id, slot, sum(x) AS weight FROM g JOIN u USING (s) GROUP BY doc_id, slot)"""
+BYTES = "list_transform(list_filter(regexp_extract_all(hex(encode(s)), '..'), lambda x: x <> ''), lambda x: CAST(('0x' || x) AS BIGINT))"
+GRAMS = GRAMS.replace("{hash}", f"list_reduce({BYTES}, lambda h, b: (xor(h, b) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT))")
+
+
+def dense_sql(queries: str, k: int) -> str:
+    """dense: the k documents whose embedding is nearest to that of each query's text. Queries get odd ids, documents even ones."""
+    return f"""src AS MATERIALIZED (SELECT 2 * query_id + 1 AS doc_id, text FROM ({queries}) UNION ALL SELECT 2 * doc_id, text FROM documents), {grams_sql('src')},
+nv AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM b GROUP BY doc_id),
+ev AS MATERIALIZED (SELECT src.doc_id, list(coalesce(CAST(weight AS DOUBLE) / norm, 0.0) ORDER BY s.slot) AS e FROM src CROSS JOIN (SELECT unnest(range(128)) AS slot) s LEFT JOIN b ON b.doc_id = src.doc_id AND b.slot = s.slot LEFT JOIN nv ON nv.doc_id = src.doc_id GROUP BY src.doc_id),
+pair AS (SELECT (q.doc_id - 1) // 2 AS query_id, v.doc_id // 2 AS doc_id, list_distance(q.e, v.e) AS distance FROM ev q, ev v WHERE q.doc_id % 2 <> 0 AND v.doc_id % 2 = 0),
+dense AS (SELECT * FROM (SELECT query_id, doc_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS rank FROM pair) WHERE rank <= {k})"""
+
+
 def hybrid_sql(k: int) -> str:
-    """Dense side: each item's vector is the one whose id is the item's times 20, as far as there is one."""
-    return f"""{bm25_sql(ITEMS, 2 * k)}, {pairs_sql('l2', 'q.vec_id % 20 = 0 AND q.vec_id // 20 IN (SELECT item_id FROM benchmark)')},
-dense AS (SELECT * FROM (SELECT query_id // 20 AS query_id, vec_id AS doc_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank FROM pair) WHERE rank <= {2 * k}),
+    """Both sides search for the items' texts."""
+    return f"""{bm25_sql(ITEMS, 2 * k)}, {dense_sql(ITEMS, 2 * k)},
 fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(0.5 / (60 + a.rank), 0) + coalesce(0.5 / (60 + b.rank), 0) AS rrf_score, coalesce(a.rank, -1) AS dense_rank, coalesce(b.rank, -1) AS sparse_rank, coalesce(a.distance, 0) AS dense_dist, coalesce(b.score, 0) AS sparse_score
  FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, doc_id) AS rank FROM fused) WHERE rank <= {k})"""
 
 
-def _hybrid(spark, d, k):
-    docs = table(spark, d, "documents")
-    ids = items(spark, d).select(F.col("query_id").alias("item"))
-    q = asked(spark, d).join(ids, F.col("query_id") == F.col("item") * 20, "left_semi")
-    dense = vector.knn(vectors(spark, d), q, 2 * k).select(F.expr("query_id div 20").alias("query_id"), F.col("vec_id").alias("doc_id"), "distance", "rank")
-    return docs, fusion.rrf(dense, fulltext.bm25(docs, items(spark, d), 2 * k), k)
-
-
 @query(f"WITH {hybrid_sql(5)} SELECT query_id, doc_id, round(rrf_score, 6) AS rrf_score, dense_rank, sparse_rank, rank FROM best")
 def rrf_fusion(spark, d):
-    return rounded(_hybrid(spark, d, 5)[1], "rrf_score").select("query_id", "doc_id", "rrf_score", "dense_rank", "sparse_rank", "rank")
+    own, q = corpus(spark, d), items(spark, d)
+    return rounded(fusion.rrf(own.dense(q, 10), own.index.search(q, 10), 5), "rrf_score").select("query_id", "doc_id", "rrf_score", "dense_rank", "sparse_rank", "rank")
 
 
 @query(f"WITH {hybrid_sql(10)} SELECT query_id, best.doc_id, round(rrf_score, 6) AS rrf_score, dense_rank, sparse_rank, round(dense_dist, 6) AS dense_dist, round(sparse_score, 6) AS sparse_score, rank, text FROM best LEFT JOIN documents ON documents.doc_id = best.doc_id")
 def hybrid_search(spark, d):
-    docs, hits = _hybrid(spark, d, 10)
-    return fusion.with_text(rounded(hits, "rrf_score", "dense_dist", "sparse_score"), docs)
+    return rounded(corpus(spark, d).search(items(spark, d), 10), "rrf_score", "dense_dist", "sparse_score")
 
 
 # ---- embedding and chunks
 
-CLEAN = r"regexp_replace(lower(translate(coalesce(text, ''), 'İΣ', 'iσ')), '^[\t-\r \x{85}\p{Z}]+|[\t-\r \x{85}\p{Z}]+$', '', 'g')"
-GRAMS = rf"""c AS (SELECT doc_id, {CLEAN} AS c FROM documents), w AS (SELECT doc_id, c, list_filter(regexp_split_to_array(c, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') AS w FROM c),
-g AS (SELECT doc_id, unnest(w) AS s, 1.0 AS x FROM w
- UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), 1.5 FROM w
- UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2])), 2.0 FROM w
- UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(c) - 2), lambda i: substr(c, CAST(i AS BIGINT), 3))), 0.5 FROM w),
-u AS (SELECT s, {{hash}} % 128 AS slot FROM (SELECT DISTINCT s FROM g)),
-b AS (SELECT doc_id, slot, sum(x) AS weight FROM g JOIN u USING (s) GROUP BY doc_id, slot)"""
-BYTES = "list_transform(list_filter(regexp_extract_all(hex(encode(s)), '..'), lambda x: x <> ''), lambda x: CAST(('0x' || x) AS BIGINT))"
-GRAMS = GRAMS.replace("{hash}", f"list_reduce({BYTES}, lambda h, b: (xor(h, b) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT))")
-
 
 @query(f"WITH {GRAMS} SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(weight AS DOUBLE) AS weight FROM b")
 def embed_buckets(spark, d):

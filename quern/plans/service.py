@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quern.operators import cluster, fulltext, kv, memory, vector
+from quern.operators import cluster, fulltext, kv, memory
 from quern.plans.kv import KV, log
-from quern.plans.registry import query, table
-from quern.plans.search import ITEMS, asked, bm25_sql, items, pairs_sql, rounded, vectors
+from quern.plans.registry import query, shared_dir, table
+from quern.plans.search import ITEMS, bm25_sql, corpus, dense_sql, items, rounded, vectors
 from quern.streaming import streams
 
 NOW = "2024-03-01 00:00:00"
@@ -27,24 +29,28 @@ def memory_normalize(spark, d):
     return memories(spark, d).select("id", "category", "importance", "kv_key")
 
 
+@query(f"WITH {MEMORY} SELECT id, 'mem:' || lpad(CAST(id AS VARCHAR), 10, '0') AS kv_key, '{{\"id\":' || id || ',\"content\":' || replace(CAST(to_json(coalesce(content, '')) AS VARCHAR), '/', '/') || ',\"category\":' || CAST(to_json(coalesce(category, '')) AS VARCHAR) || ',\"timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '\",\"importance\":' || CAST(CAST(importance AS DOUBLE) AS VARCHAR) || '}}' AS kv_value FROM mem")
+def memory_rows(spark, d):
+    """What the log gets for each memory."""
+    return memories(spark, d).select("id", "kv_key", "kv_value")
+
+
 @query(f"WITH {MEMORY} SELECT id, round(exp(-(epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 3.6e9 / 72), 6) AS recency FROM mem")
 def recency(spark, d):
     return memories(spark, d).select("id", F.round(memory.recency(F.lit(NOW), F.col("ts")), 6).alias("recency"))
 
 
-def recall_sql(k: int) -> str:
-    return f"""{MEMORY}, {bm25_sql(ITEMS, 3 * k)}, {pairs_sql('l2', 'q.vec_id % 20 = 0 AND q.vec_id // 20 IN (SELECT item_id FROM benchmark)')},
-dense AS (SELECT * FROM (SELECT query_id // 20 AS query_id, vec_id AS id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank FROM pair) WHERE rank <= {3 * k}),
-cand AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.doc_id) AS id, coalesce(1 / (1 + a.distance), 0.3) AS similarity FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.id = b.doc_id),
+def recall_sql(k: int, queries: str = ITEMS) -> str:
+    return f"""{MEMORY}, {bm25_sql(queries, 3 * k)}, {dense_sql(queries, 3 * k)},
+cand AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS id, coalesce(1 / (1 + a.distance), 0.3) AS similarity FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
 full_ AS (SELECT query_id, id, similarity, exp(-(epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 3.6e9 / 72) AS recency, CAST(importance AS DOUBLE) AS importance FROM cand JOIN mem USING (id)),
 scored AS (SELECT *, 0.6 * similarity + 0.2 * recency + 0.2 * importance AS score FROM full_),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= {k})"""
 
 
 def recalled(spark, d, k):
-    q = asked(spark, d).join(items(spark, d).select(F.col("query_id").alias("item")), F.col("query_id") == F.col("item") * 20, "left_semi")
-    dense = vector.knn(vectors(spark, d), q, 3 * k).select(F.expr("query_id div 20").alias("query_id"), F.col("vec_id").alias("id"), "distance", "rank")
-    sparse = fulltext.bm25(table(spark, d, "documents"), items(spark, d), 3 * k).select("query_id", F.col("doc_id").alias("id"), "rank")
+    own, q = corpus(spark, d), items(spark, d)
+    dense, sparse = (x.withColumnRenamed("doc_id", "id") for x in (own.dense(q, 3 * k), own.index.search(q, 3 * k)))
     return memory.recall(memories(spark, d), dense, sparse, F.lit(NOW), k)
 
 
@@ -69,10 +75,14 @@ CASE WHEN contains(lower(text), 'status') OR contains(lower(text), 'stats') THEN
 intent AS (SELECT *, CASE WHEN stores THEN trim(regexp_replace(regexp_replace(text, '^remember:', ''), '^store:', '')) END AS to_store FROM it)"""
 
 
+def said(spark, d):
+    own = spark.createDataFrame([(-1, -i - 1, t) for i, t in enumerate(SAID)], "session_id bigint, msg_id bigint, text string")
+    turns = table(spark, d, "conversations").where("role = 'user'")
+    return turns.select(F.col("conv_id").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text").unionByName(own)
+
+
 def messages(spark, d):
-    said = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(SAID)], "msg_id bigint, text string")
-    turns = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
-    return memory.intents(turns.unionByName(said))
+    return memory.intents(said(spark, d).select("msg_id", "text"))
 
 
 @query(f"WITH {INTENTS} SELECT msg_id, stores, to_store, branch FROM intent")
@@ -80,24 +90,38 @@ def chat_intent(spark, d):
     return messages(spark, d).select("msg_id", "stores", "to_store", "branch")
 
 
-@query(f"WITH {INTENTS} SELECT msg_id, 'store_memory' AS name, to_store AS content FROM intent WHERE stores")
+LAST_ID = 100_000  # of the memories before
+
+
+@query(f"WITH {INTENTS} SELECT msg_id, 'store_memory' AS name, to_store AS content, '0.8' AS importance, 'Stored in distributed memory (ID: ' || ({LAST_ID} + row_number() OVER (ORDER BY msg_id)) || ')' AS result FROM intent WHERE stores")
 def chat_tool_calls(spark, d):
-    return memory.tool_calls(messages(spark, d)).select("msg_id", F.col("tool_calls")[0]["name"].alias("name"), F.col("tool_calls")[0]["arguments"]["content"].alias("content"))
+    calls = memory.tool_calls(memory.new_facts(messages(spark, d), LAST_ID, F.lit(NOW)))
+    one = F.col("tool_calls")[0]
+    return calls.select("msg_id", one["name"].alias("name"), one["arguments"]["content"].alias("content"), one["arguments"]["importance"].alias("importance"), one["result"].alias("result"))
 
 
 MESSAGE_TEXT = "SELECT msg_id AS query_id, text FROM intent"
+REPLIES = f"""{INTENTS}, {recall_sql(3, MESSAGE_TEXT)},
+lines AS (SELECT query_id AS msg_id, string_agg(format('- [{{:.2f}} score] {{}}', score, content) || chr(10), '' ORDER BY rank) AS lines, count(*) AS n FROM best JOIN mem USING (id) GROUP BY query_id),
+said AS (SELECT msg_id, CASE WHEN stores THEN '✓ Recorded to long-term memory: "' || to_store || '"' || chr(10) || chr(10) ELSE '' END
+ || coalesce('🧠 **Relevant Memories Recalled:**' || chr(10) || lines || chr(10), '') || '💡 **Engine Analysis:**' || chr(10)
+ || CASE branch WHEN 'status' THEN 'Cluster operational. Indexed Vectors: ' || ((SELECT count(*) FROM documents) + CAST(stores AS INTEGER)) || ' | Active Memories: ' || ((SELECT count(*) FROM documents) + CAST(stores AS INTEGER)) || ' | Consensus: Multi-Raft Online.'
+ WHEN 'search' THEN 'Executed semantic HNSW vector search across keyspace for query: "' || text || '".'
+ ELSE 'Processed query against distributed LSM-Tree and vector memory index. Total memories consulted: ' || coalesce(n, 0) || '.' END AS reply FROM intent LEFT JOIN lines USING (msg_id))"""
 
 
-@query(f"""WITH {INTENTS}, {bm25_sql(MESSAGE_TEXT, 3)},
-lines AS (SELECT query_id AS msg_id, string_agg(format('- [{{:.2f}} score] {{}}', score, sparse.doc_id), chr(10) ORDER BY rank) AS lines, count(*) AS n FROM sparse GROUP BY query_id)
-SELECT msg_id, CASE WHEN stores THEN 'stored: ' || to_store || chr(10) ELSE '' END || coalesce(lines || chr(10), '') || CASE branch WHEN 'status' THEN 'vectors: ' || (SELECT count(*) FROM embeddings) || ', memories: ' || (SELECT count(*) FROM documents) WHEN 'search' THEN 'search: ' || text ELSE 'memories consulted: ' || coalesce(n, 0) END AS reply
-FROM intent LEFT JOIN lines USING (msg_id)""")
+def answers(spark, d):
+    return memory.chat(said(spark, d), memories(spark, d), corpus(spark, d), LAST_ID, F.lit(NOW))
+
+
+@query(f"WITH {REPLIES} SELECT msg_id, sha256(reply) AS reply_sha256, length(reply) AS reply_chars FROM said")
 def chat_reply(spark, d):
-    said = messages(spark, d)
-    docs = table(spark, d, "documents")
-    hits = fulltext.bm25(docs, said.select(F.col("msg_id").alias("query_id"), "text"), 3)
-    hits = hits.select(F.col("query_id").alias("msg_id"), "rank", "score", F.col("doc_id").cast("string").alias("content"))
-    return memory.replies(said, hits, vectors(spark, d).count(), docs.count())
+    return answers(spark, d).replies.select("msg_id", F.sha2("reply", 256).alias("reply_sha256"), F.length("reply").cast("long").alias("reply_chars"))
+
+
+@query(f"WITH {MESSAGES}, own AS (SELECT CASE WHEN msg_id < 0 THEN -1 ELSE msg_id // 1000 END AS session_id, msg_id, text FROM msg) SELECT session_id, min(msg_id) AS msg_id, CAST(0 AS INTEGER) AS place, 'system' AS role FROM own GROUP BY session_id UNION ALL SELECT session_id, msg_id, p, r FROM own, (VALUES (1, 'user'), (2, 'assistant')) v(p, r)")
+def chat_history(spark, d):
+    return answers(spark, d).history.select("session_id", "msg_id", "place", "role")
 
 
 @query("SELECT conv_id AS session_id, count(*) + 1 AS n_messages, 'system: ready' || chr(10) || string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
@@ -181,6 +205,30 @@ def raft_append(spark, d):
     return cluster.appended(own, sent)
 
 
+@query("WITH own AS (SELECT max(o_orderkey) AS last FROM orders) SELECT last + row_number() OVER (ORDER BY event_id) AS idx, CAST(7 AS BIGINT) AS term, event_type AS data FROM events, own")
+def raft_propose(spark, d):
+    """The new entries of the log when a leader takes every event as a command."""
+    own = raft_log(spark, d).withColumn("data", F.lit(None).cast("string"))
+    commands = table(spark, d, "events").select(F.col("event_id").alias("n"), F.col("event_type").alias("data"))
+    return cluster.proposed(own, commands, 7).where("data is not null")
+
+
+@query(f"WITH {RANGES}, g AS (SELECT * FROM (VALUES (1, 4), (2, 6), (4, 5)) v(range_id, term)), own AS (SELECT r.id AS range_id, c_custkey AS n FROM customer JOIN r ON c_name >= start_key AND (end_key = '' OR c_name < end_key)) SELECT CAST(range_id AS BIGINT) AS range_id, range_id * 10 + row_number() OVER (PARTITION BY range_id ORDER BY n) AS idx, CAST(term AS BIGINT) AS term, n FROM own JOIN g USING (range_id)")
+def raft_propose_for_key(spark, d):
+    """Each customer's name is a key, its command goes to the group of its range; range 3 has none here."""
+    groups = spark.createDataFrame([(1, 4), (2, 6), (4, 5)], "range_id bigint, term bigint")
+    logs = groups.select("range_id", (F.col("range_id") * 10).alias("idx"))
+    commands = table(spark, d, "customer").select(F.col("c_custkey").alias("n"), F.col("c_name").alias("key"), F.lit("x").alias("data"))
+    return cluster.proposed_for_keys(logs, groups, ranges(spark), commands)[0].select("range_id", "idx", "term", "n")
+
+
+@query("SELECT c_name AS key, CAST(1 AS BIGINT) AS range_id FROM customer")
+def range_initial(spark, d):
+    """A new cluster's one range holds every key."""
+    first = spark.createDataFrame(cluster.initial_range(), "id bigint, start_key string, end_key string")
+    return cluster.route(table(spark, d, "customer").select(F.col("c_name").alias("key")), first)
+
+
 @query(f"WITH {RAFT} SELECT peer, idx, CAST(term AS BIGINT) AS term FROM l JOIN m ON idx >= match_index")
 def raft_suffixes(spark, d):
     return cluster.suffixes(raft_log(spark, d), raft_match(spark, d).withColumnRenamed("match_index", "next_index"))
@@ -200,12 +248,6 @@ def health_stats(spark, d):
 # ---- streams
 
 
-def checkpoint_folder(spark):
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-stream-")
-
-
 def event_stream(spark, d):
     path = f"{d}/events.parquet"
     return streams.stream_of(spark, path, spark.read.parquet(path).schema)
@@ -215,19 +257,33 @@ def event_stream(spark, d):
 def stream_kv_latest(spark, d):
     e = event_stream(spark, d)
     rows = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("op"), F.col("props").alias("value"))
-    return streams.drained(streams.newest(rows), "complete", checkpoint_folder(spark))
+    return streams.drained(streams.newest(rows), ["key"], shared_dir(spark))
 
 
 @query("SELECT user_id AS node, max(ts) AS last_seen FROM events GROUP BY user_id")
 def stream_heartbeat(spark, d):
-    return streams.drained(streams.last_seen(event_stream(spark, d).select(F.col("user_id").alias("node"), "ts")), "complete", checkpoint_folder(spark))
+    return streams.drained(streams.last_seen(event_stream(spark, d).select(F.col("user_id").alias("node"), "ts")), ["node"], shared_dir(spark))
 
 
-@query(f"WITH {KV} SELECT seq, op, key, value FROM kv")
+STREAMED = "(SELECT event_id AS doc_id, event_type || ' of user ' || user_id AS text FROM events)"
+
+
+@query(f"WITH {bm25_sql('SELECT 1 AS query_id, ' + repr('purchase user') + ' AS text', 20).replace('FROM documents', 'FROM ' + STREAMED)} SELECT doc_id, round(score, 6) AS score, rank FROM sparse")
 def stream_ingest_index(spark, d):
-    import uuid
+    """Events become documents; every micro-batch is indexed as a version, then the index is searched."""
+    top = f"{shared_dir(spark)}/quern-ingest-{uuid.uuid4().hex}"
+    index = fulltext.Index(spark, f"{top}/index")
+    e = event_stream(spark, d).select(F.col("event_id").alias("doc_id"), F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string")).alias("text"))
+    q = e.writeStream.foreachBatch(lambda b, n: index.add(b) and None).option("checkpointLocation", f"{top}/offsets").trigger(availableNow=True).start()
+    q.awaitTermination()
+    asked = spark.createDataFrame([(1, "purchase user")], "query_id bigint, text string")
+    return rounded(index.search(asked, 20), "score").select("doc_id", "score", "rank")
+
 
-    top = f"{checkpoint_folder(spark).rstrip('/')}/quern-ingest-{uuid.uuid4().hex}"
+@query(f"WITH {KV} SELECT seq, op, key, value FROM kv")
+def stream_into_log(spark, d):
+    """Group commit of a stream of writes."""
+    top = f"{shared_dir(spark)}/quern-ingest-{uuid.uuid4().hex}"
     e = event_stream(spark, d)
     rows = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("op"), F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.col("props").alias("value"))
     streams.into_table(rows, f"{top}/table", f"{top}/offsets")
@@ -236,10 +292,5 @@ def stream_ingest_index(spark, d):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_hourly_counts(spark, d):
-    n = streams.drained(streams.counted(event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "1 hour"), "update", checkpoint_folder(spark))
-    return n.groupBy(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.max("n").alias("n"))
-
-
-@query(f"WITH {KV} SELECT count(*) AS n FROM kv")
-def kv_log_size(spark, d):
-    return kv.counts(log(spark, d)).select(F.col("versions").alias("n"))
+    n = streams.drained(streams.counted(event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "1 hour"), ["window", "event_type"], shared_dir(spark))
+    return n.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")

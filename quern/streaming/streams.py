@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -16,12 +17,17 @@ def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(at)
 
 
-def drained(df: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Runs the stream to its end into a memory table and returns it; state and offsets go to the checkpoint folder."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs an aggregating stream to its end and returns its last row for each of keys.
+
+    Each micro-batch writes the rows that it changed as a Parquet folder of its own, so neither the state nor all rows
+    are rewritten or gathered, and a batch that runs again replaces itself. State and offsets are in the folder, too.
+    """
+    own = f"{folder}/stream-{uuid.uuid4().hex}"
+    into_table(df, f"{own}/rows", f"{own}/offsets", mode="update")
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{own}/rows")
+    others = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in others)).select(*df.columns)
 
 
 def newest(log: DataFrame) -> DataFrame:
@@ -38,7 +44,7 @@ def counted(events: DataFrame, delay: str, width: str) -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def into_table(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
-    """Group commit: each micro-batch is one atomic append of Parquet files."""
-    q = df.writeStream.foreachBatch(lambda b, n: each(b).write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def into_table(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda x: x, mode: str = "append") -> None:
+    """Group commit: each micro-batch is one atomic folder of Parquet files, batch=n."""
+    q = df.writeStream.outputMode(mode).foreachBatch(lambda b, n: each(b).write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -36,7 +36,7 @@ def test_compaction_twice_is_once_and_keeps_tombstones_above_the_bottom(spark, r
 
 def test_put_delete_put_and_missing(spark):
     log = spark.createDataFrame([(1, 1, "a", "x"), (2, 2, "a", None), (3, 1, "a", ""), (4, 2, "b", None), (5, 1, "c", "z"), (6, 2, "c", None)], LOG)
-    assert kv.get(log, "a").first().asDict() == {"key": "a", "found": True, "seq": 3, "op": 1, "value": ""}
+    assert kv.get(log, "a").first().asDict() == {"key": "a", "found": True, "seq": 3, "op": 1, "value": "", "raw": ""}
     assert not kv.get(log, "c").first()["found"]
     assert not kv.get(log, "nowhere").first()["found"]
     assert [r["key"] for r in kv.scan(log).collect()] == ["a"]
