@@ -41,7 +41,9 @@ D = 1 << 17  # places; long texts share some, which only adds candidates
 
 
 class Hashed(dict):
-    """Hashes of words, kept for words seen before; emptied between texts when they are many."""
+    """Hashes of words, kept for words seen before; emptied between texts when they are over MOST."""
+
+    MOST = 500_000  # some 70 MB
 
     def __init__(self, function: Callable):
         self._function = function
@@ -51,7 +53,7 @@ class Hashed(dict):
         return h
 
     def of(self, words: list) -> np.ndarray:
-        if len(self) > 100_000:
+        if len(self) > self.MOST:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

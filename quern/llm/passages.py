@@ -91,6 +91,12 @@ class Cutter:
         return Units(at, at + self.window, h[at].view(np.int64), np.full(len(at), WINDOW))
 
 
+    def repeats_lines(self, text: str | None) -> bool:
+        """Whether a whole line of least_words words or more stands twice in the text."""
+        lines = [words for line in (text or "").split("\n") if len(line) >= 2 * self.least_words - 1 and len(words := line.lower().split()) >= self.least_words]
+        return len(lines) > 1 and len({" ".join(words) for words in lines}) < len(lines)
+
+
 def _runs(ids: np.ndarray, ends: np.ndarray, least: int, kind: int) -> Units:
     """The runs of words that end at `ends`, as units if they have `least` words."""
     ends = ends[ends > 0]
@@ -133,7 +139,7 @@ def joined(sure: list[tuple[int, int]], edges: list[tuple[int, int]]) -> list[tu
 
 
 def drop_repeats(docs: DataFrame, cutter: Callable[[], Cutter] = Cutter) -> DataFrame:
-    """docs(doc_id, text) to doc_id, text (what stays), removed array<struct<start,end,words>>, n_units, a row for each row."""
+    """docs(doc_id, text) to doc_id, text (what stays), removed array<struct<start,end,words>>, a row for each row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def hashes():
@@ -152,17 +158,15 @@ def drop_repeats(docs: DataFrame, cutter: Callable[[], Cutter] = Cutter) -> Data
         cut = cutter()
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
         for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # bounds the Python objects at one time
-            kept, gone, counts = [], [], []
+            kept, gone = [], []
             for text, elsewhere in zip(b.column("text").to_pylist(), b.column("elsewhere").to_pylist(), strict=True):
-                units = cut.units(text)
-                runs = removed(text, units, elsewhere or ())
+                runs = removed(text, cut.units(text), elsewhere or ()) if elsewhere or cut.repeats_lines(text) else []
                 at, parts = 0, []
                 for s, e in runs:
                     parts.append(text[at:s])
                     at = e
                 kept.append(None if text is None else "".join([*parts, text[at:]]))
                 gone.append([{"start": s, "end": e, "words": len(text[s:e].split())} for s, e in runs])
-                counts.append(len(units.first))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(gone, spans), pa.array(counts, pa.int64())], names=["doc_id", "text", "removed", "n_units"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(gone, spans)], names=["doc_id", "text", "removed"])
 
-    return full.select("doc_id", "text", "elsewhere").mapInArrow(cut_out, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint,words:bigint>>, n_units bigint")
+    return full.select("doc_id", "text", "elsewhere").mapInArrow(cut_out, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint,words:bigint>>")

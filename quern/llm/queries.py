@@ -34,7 +34,7 @@ def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drop_repeats(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["words"])
-    return done.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"), spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"))
+    return done.select("doc_id", F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"), spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
