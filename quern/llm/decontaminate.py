@@ -13,9 +13,10 @@ windows are few enough to broadcast (counted first; beyond that both sides are s
 Items of `window` tokens or more are searched by windows of that length; shorter ones, down to `least_tokens`, by
 windows of that many, of which all must be found. Template windows with fewer than half of their tokens literal tell
 nothing and are searched by their plain words only; where too few others are left to count, those must all be found
-and the template of the whole item must be there. Items with fewer tokens tell nothing and are not searched.
+and the template of the whole item must be there. Items with fewer tokens tell nothing and are not searched;
+unsearched() lists them.
 
-Defined results: a null or empty text is never contaminated. Repeated rows get equal results; rows with a null doc_id
+Defined results: a null or empty text is never contaminated. A very long text is searched to its end, as one row. Repeated rows get equal results; rows with a null doc_id
 too, each by its own text. Null and repeated items are ignored. Other input columns are ignored. An empty table of
 documents gives an empty result; with an empty benchmark every document is kept.
 """
@@ -128,6 +129,12 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 8, least_tokens: int
     return at.dropDuplicates(["doc_id", "text_key", "item_id", "shift"])
 
 
+def unsearched(items: DataFrame, least_tokens: int = 4) -> DataFrame:
+    """The rows of items(item_id, text) that no document is searched for: null texts, and those of fewer tokens."""
+    made = with_tokens(items.select("item_id", "text"))
+    return made.where(F.col("text").isNull() | (F.col("low")[0] == "") | (F.col("n_tok") < least_tokens)).select("item_id", "text")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """docs with columns contaminated, item_id (the smallest found), n_items, n_windows and reparameterised (only found with other values).
 

@@ -11,7 +11,8 @@ a documented bound, so they fit the driver); scoring covers every document. The
 Defined results: a null text is scored as the empty text, and both get the score that the tables give to zero counts.
 Rows with a null doc_id are scored, and are not held out. Repeated labels of a document count once, the smaller one.
 Without labels of both classes, the score is the smoothed share of good labels (0.5 with none). Columns named like
-the results are replaced by score_documents; keep_good returns its input's columns. An empty table gives an empty result.
+the results are replaced by score_documents; keep_good returns its input's columns. A very long text is counted to its
+end. An empty table gives an empty result.
 """
 
 from __future__ import annotations

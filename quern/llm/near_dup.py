@@ -40,37 +40,52 @@ from quern.llm.common import map_texts, written
 D = 1 << 17  # places; long texts share some, which only adds candidates
 
 
-class Hashed(dict):
-    """Hashes of words, kept for words seen before; emptied between texts when they are over MOST."""
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
-    MOST = 500_000  # some 70 MB
 
-    def __init__(self, function: Callable):
-        self._function = function
+class Words:
+    """Hashes of the words of a text, all at once.
 
-    def __missing__(self, word):
-        self[word] = h = self._function(word)
-        return h
+    A word's bytes are the digits of a number to a fixed odd base, taken modulo 2 ** 64: sums over the text give those of
+    all its words. Powers of the base are kept for the longest text so far.
+    """
+
+    BASE = 0xD1342543DE82EF95
+
+    def __init__(self):
+        self._grow(1 << 14)
 
-    def of(self, words: list) -> np.ndarray:
-        if len(self) > self.MOST:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def _grow(self, n: int) -> None:
+        powers = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
+        self._up, self._down = powers(np.uint64(self.BASE)), powers(np.uint64(pow(self.BASE, -1, 1 << 64)))
+
+    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, starts, ends) of the runs of bytes that are no ASCII blanks."""
+        b = np.frombuffer(raw, np.uint8)
+        blank = np.ones(len(b) + 2, bool)
+        blank[1:-1] = BLANK[b]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if len(b) >= len(self._up):
+            self._grow(2 * len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self._up[: len(b)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64) * GOLD), starts, ends
 
 
 def shingle_sets(width: int) -> Callable[[str | None], np.ndarray]:
     """A function from a text to its set: sorted distinct 64-bit hashes of `width`-word shingles."""
-    import xxhash
-
-    known = Hashed(xxhash.xxh3_64_intdigest)
+    words = Words()
 
     def run(text: str | None) -> np.ndarray:
-        ids = known.of(text.encode("utf-8", "surrogatepass").lower().split() if text else [])  # of bytes, A-Z and ASCII blanks only
+        ids = words.of(text.encode("utf-8", "surrogatepass").lower() if text else b"")[0]  # of bytes, A-Z only
         n = max(1, len(ids) - width + 1) if len(ids) else 0
         here = min(width, len(ids))
         out = np.full(n, here, np.uint64)
         for k in range(here):
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n])
+            out = mixed(out * GOLD + ids[k : k + n])
         return np.unique(out)
 
     return run

@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import map_texts, written
-from quern.llm.near_dup import Hashed, mixed
+from quern.llm.near_dup import GOLD, Words, mixed
 
-WORD = re.compile(r"\S+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+STOP = np.zeros(256, bool)
+STOP[[ord(c) for c in ".!?"]] = True
 LAST = (1 << 63) - 1
 LINE, WINDOW, SENTENCE, EDGE = 1, 2, 3, 4
-GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Units(NamedTuple):
@@ -49,13 +50,6 @@ class Units(NamedTuple):
     kind: np.ndarray
 
 
-def _id(word: str) -> int:
-    """A hash of the word in lower case, whose lowest bit tells whether a sentence ends with it."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in ".!?")
-
-
 class Cutter:
     """Finds the units of texts."""
 
@@ -63,16 +57,14 @@ class Cutter:
         if window & (window - 1) or not window < caught:
             raise ValueError("window must be a power of two, and less than caught")
         self.least_words, self.window, self.near, self.edge_words = least_words, window, caught - window, edge_words
-        self._known = Hashed(_id)
+        self._words = Words()
 
     def units(self, text: str | None) -> Units:
-        words, line_ends = [], []
-        for line in (text or "").split("\n"):
-            words += line.split()
-            line_ends.append(len(words))
-        ids = self._known.of(words)
-        line_ends = np.unique(np.array(line_ends))
-        ends = np.unique(np.concatenate([line_ends, np.flatnonzero(ids & np.uint64(1)) + 1]))
+        raw = text.lower().encode("utf-8", "surrogatepass") if text else b""  # which has as many words
+        ids, starts, stops = self._words.of(raw)
+        chars = np.frombuffer(raw, np.uint8)
+        line_ends = np.unique(np.append(np.searchsorted(starts, np.flatnonzero(chars == 10)), len(ids)))
+        ends = np.unique(np.append(line_ends, np.flatnonzero(STOP[chars[stops - 1]]) + 1))
         sentences = _runs(ids, ends, self.edge_words, SENTENCE)
         sentences.kind[sentences.after - sentences.first < self.least_words] = EDGE
         return Units(*map(np.concatenate, zip(_runs(ids, line_ends, self.least_words, LINE), sentences, self._windows(ids), strict=True)))
@@ -166,7 +158,7 @@ def drop_repeats(docs: DataFrame, cutter: Callable[[], Cutter] = Cutter) -> Data
                     parts.append(text[at:s])
                     at = e
                 kept.append(None if text is None else "".join([*parts, text[at:]]))
-                gone.append([{"start": s, "end": e, "words": len(text[s:e].split())} for s, e in runs])
+                gone.append([{"start": s, "end": e, "words": len(WORD.findall(text, s, e))} for s, e in runs])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(gone, spans)], names=["doc_id", "text", "removed"])
 
     return full.select("doc_id", "text", "elsewhere").mapInArrow(cut_out, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint,words:bigint>>")

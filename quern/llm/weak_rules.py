@@ -8,7 +8,8 @@ decides, in place of "every filter must pass".
 All work is in built-in column functions; the corpus is read once, and only its counts are stored.
 
 Defined results: a null or blank text has no words and fails the base rule. Repeated rows and rows with a null doc_id
-get their own result. Other input columns are ignored, whatever their names. An empty table gives an empty result.
+get their own result. A very long text is counted to its end, as one row. Other input columns are ignored, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

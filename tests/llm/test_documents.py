@@ -419,6 +419,77 @@ def test_leaks_of_items_with_few_literal_windows(spark):
     assert got == {1: (True, False), 2: (True, True), 3: (False, False), 4: (True, False), 5: (False, False), 6: (False, False), 7: (True, True)}
 
 
+def leaks_by_force(docs, items, window=8, least=4, need=3):
+    """(doc, item) of consistent alignments: templates, windows, diagonals and slots once more, in plain Python."""
+    from quern.llm.decontaminate import MARKS, UNITS
+
+    def words(text):
+        return WORD.findall((text or "").translate({ord(c): None for c in MARKS}))
+
+    def template(word):
+        low = word.lower()
+        if word != low:
+            return low if word == word.upper() else "<name>"
+        return "<num>" if "0" <= low < ":" else "<unit>" if low in UNITS else low
+
+    found = set()
+    for item, text in items.items():
+        iw = words(text)
+        width = window if len(iw) >= window else least
+        if len(iw) < least:
+            continue
+        it, il = [template(w) for w in iw], [w.lower() for w in iw]
+        places = range(len(iw) - width + 1)
+        formed = {p for p in places if sum(not t.startswith("<") for t in it[p : p + width]) >= width // 2}
+        enough = min(need if width == window else window, len(places))
+        for doc, dtext in docs.items():
+            dw = words(dtext)
+            dt, dl = [template(w) for w in dw], [w.lower() for w in dw]
+            hits, forms = collections.defaultdict(set), collections.defaultdict(set)
+            for pos in range(len(dw) - width + 1):
+                for p in places:
+                    if p in formed and dt[pos : pos + width] == it[p : p + width]:
+                        hits[pos - p].add(p)
+                        forms[pos - p].add(p)
+                    if dl[pos : pos + width] == il[p : p + width]:
+                        hits[pos - p].add(p)
+            for shift, own in hits.items():
+                first, last = min(own), max(own) + width - 1
+                if len(own) < enough:
+                    whole = formed <= forms[shift] and formed and shift >= 0 and len(formed) < enough and dt[shift : shift + len(iw)] == it
+                    if not whole:
+                        continue
+                    first, last = 0, len(iw) - 1
+                slots = {(it[p], il[p], dl[p + shift]) for p in range(first, last + 1) if it[p].startswith("<")}
+                if len(slots) == len({x[:2] for x in slots}):
+                    found.add((doc, item))
+    return found
+
+
+def test_leaks_by_force(spark, real):
+    from quern.llm.decontaminate import leaks, unsearched
+
+    rng = random.Random(11)
+    names, units, plain = ["Tom", "Anna", "Smith", "NASA", "Lake"], ["kg", "km", "days", "dollars"], [f"w{chr(97 + i)}" for i in range(20)]
+    say = lambda n: " ".join(rng.choice(rng.choice([names, units, plain, plain, plain, [str(rng.randrange(90))]])) + rng.choice(["", "", "", ","]) for _ in range(n))
+    items = {i: say(rng.choice([3, 4, 5, 7, 8, 9, 14, 30])) for i in range(30)}
+    docs = {}
+    for d in range(60):
+        parts = []
+        for i in rng.sample(sorted(items), 2):
+            text = items[i].split()
+            value = {w: rng.choice([w, w, w, str(rng.randrange(90)) if w.strip(",").isdigit() else w]) for w in text}
+            parts += [say(rng.randrange(12)), " ".join(value[w] if rng.random() < 0.97 else "odd" for w in text)]
+        docs[d] = " ".join(parts)
+    docs |= {1000 + i: t for i, t in list(real.items())[:40]}
+    items |= {100 + r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(8).collect()}
+    table = spark.createDataFrame(sorted(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(docs_of(spark, [(i, t, "s") for i, t in docs.items()]), table).collect()}
+    want = leaks_by_force(docs, items)
+    assert want and got == want
+    assert {r["item_id"] for r in unsearched(table).collect()} == {i for i, t in items.items() if len(t.split()) < 4}
+
+
 def test_leaks_edge_cases(spark):
     from quern.llm.decontaminate import decontaminate, drop_contaminated
 
