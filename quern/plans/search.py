@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import functions as F
 
@@ -54,16 +55,25 @@ def one_query(spark, text):
     return spark.createDataFrame([(1, text)], "query_id bigint, text string")
 
 
-_corpora: dict[tuple[str, str], fusion.Hybrid] = {}
+def once(build):
+    """What build(spark, d) stores is built once a session and folder, and then read by all queries that need it."""
+    kept = {}
 
+    @wraps(build)
+    def get(spark, d):
+        key = spark.sparkContext.applicationId, d
+        if key not in kept:
+            kept[key] = build(spark, d)
+        return kept[key]
 
+    return get
+
+
+@once
 def corpus(spark, d) -> fusion.Hybrid:
-    """The documents' text index, embeddings and texts, stored once a session for all queries that search them."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _corpora:
-        made = fusion.Hybrid(fulltext.Index(spark, f"{shared_dir(spark)}/quern-corpus-{uuid.uuid4().hex}"))
-        _corpora[key] = made.add(table(spark, d, "documents").select("doc_id", "text"))
-    return _corpora[key]
+    """The documents' text index, embeddings and texts."""
+    made = fusion.Hybrid(fulltext.Index(spark, f"{shared_dir(spark)}/quern-corpus-{uuid.uuid4().hex}"))
+    return made.add(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def rounded(df, *columns):
@@ -192,13 +202,20 @@ def measured(spark, d, found, compared):
     return vector.recall(found, vector.knn(v, q, 10)).join(compared, "query_id").select("query_id", "recall", F.round(F.col("compared") / F.lit(v.count()), 4).alias("compared"))
 
 
+@once
+def coded(spark, d):
+    """Inverted lists of codes: (codes(vec_id, list, codes), the lists' centroids, the codebook)."""
+    v = vectors(spark, d)
+    c = vector.centroids(v, 16)
+    book = stored(pq.train(v, rounds=4), "codebook")
+    return stored(pq.encode(v, book).join(vector.listed(v, c), "vec_id"), "codes"), c, pq.points(book)
+
+
 @query()
 def ann_ivf(spark, d):
     v, q = vectors(spark, d), asked(spark, d)
-    c = vector.centroids(v, 16)
-    book = stored(pq.train(v, rounds=10), "codebook")
-    codes = stored(pq.encode(v, book).join(vector.listed(v, c), "vec_id"), "codes")
-    return measured(spark, d, vector.ivf(codes, v, q, 10, c, 13, pq.points(book), METRICS["l2"]), q.select("query_id", F.lit(200).alias("compared")))
+    codes, c, book = coded(spark, d)
+    return measured(spark, d, vector.ivf(codes, v, q, 10, c, 13, book, METRICS["l2"]), q.select("query_id", F.lit(200).alias("compared")))
 
 
 @query()
@@ -208,6 +225,7 @@ def ann_lsh_recall(spark, d):
     return measured(spark, d, vector.lsh(index, v, q, 10, METRICS["l2"]), q.select("query_id", F.lit(200).alias("compared")))
 
 
+@once
 def graphs(spark, d):
     return stored(vector.hnsw(vectors(spark, d), shard_rows=1000), "graphs")
 

@@ -294,3 +294,15 @@ def stream_into_log(spark, d):
 def stream_hourly_counts(spark, d):
     n = streams.drained(streams.counted(event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "1 hour"), ["window", "event_type"], shared_dir(spark))
     return n.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query("""WITH e AS (SELECT user_id AS node, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT node, ts, sum(fresh) OVER (PARTITION BY node ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT node, min(ts) AS first_seen, max(ts) + INTERVAL 2 HOUR AS offline_at, count(*) AS beats FROM r GROUP BY node, run HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_offline_nodes(spark, d):
+    top = f"{shared_dir(spark)}/quern-offline-{uuid.uuid4().hex}"
+    beats = event_stream(spark, d).select(F.col("user_id").alias("node"), F.col("ts").cast("timestamp").alias("ts"))
+    runs = streams.silent(beats, "2 hours", "1 hour")
+    streams.into_table(runs, f"{top}/rows", f"{top}/offsets")
+    done = spark.read.parquet(f"{top}/rows").drop("batch")
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "offline_at")})

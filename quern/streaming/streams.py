@@ -44,6 +44,16 @@ def counted(events: DataFrame, delay: str, width: str) -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
+def silent(beats: DataFrame, ttl: str, delay: str) -> DataFrame:
+    """A stream of (node, ts) to (node, first_seen, offline_at, beats): a row each time a node has been silent for ttl.
+
+    State is one open run of beats for each node; a run ends when the watermark, `delay` behind the newest beat, passes
+    its last beat by ttl. Nodes that are still within ttl have no row yet.
+    """
+    runs = beats.withWatermark("ts", delay).groupBy("node", F.session_window("ts", ttl).alias("run")).agg(F.count("*").alias("beats"))
+    return runs.select("node", F.col("run.start").alias("first_seen"), F.col("run.end").alias("offline_at"), "beats")
+
+
 def into_table(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda x: x, mode: str = "append") -> None:
     """Group commit: each micro-batch is one atomic folder of Parquet files, batch=n."""
     q = df.writeStream.outputMode(mode).foreachBatch(lambda b, n: each(b).write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
