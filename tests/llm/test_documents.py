@@ -419,6 +419,22 @@ def test_leaks_of_items_with_few_literal_windows(spark):
     assert got == {1: (True, False), 2: (True, True), 3: (False, False), 4: (True, False), 5: (False, False), 6: (False, False), 7: (True, True)}
 
 
+def test_leaks_with_longer_names_and_joined_units(spark):
+    from quern.llm.decontaminate import decontaminate
+
+    asked = "every day Tom walks 5 km to the old mill where Anna sells bread and he pays her 3 dollars for it"
+    items = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    longer, tail = asked.replace("Tom", "Tom Smith").replace("Anna", "Anna Maria Lopez"), asked.replace("5 km", "7km")
+    joined = tail.replace("Tom", "Bob").replace("Anna", "Eva").replace("3 dollars", "9 dollars")
+    broken = "every day Tom Smith walks 5km to an odd mill where Anna buys bread and he asks her 3 things about it"
+    rows = [(1, f"so it goes {longer} and on"), (2, f"so it goes {joined} and on"), (3, f"so it goes {broken} and on"), (4, asked), (5, tail), (None, longer)]
+    got = decontaminate(docs_of(spark, [(i, t, "s") for i, t in rows]), items).collect()
+    assert {r["doc_id"]: (r["contaminated"], r["reparameterised"]) for r in got} == {1: (True, True), 2: (True, True), 3: (False, False), 4: (True, False), 5: (True, False), None: (True, True)}
+    assert {r["doc_id"]: r["n_windows"] for r in got}[4] == len(asked.split()) - 7  # of the whole item, once
+    names = decontaminate(docs_of(spark, [(1, "x Tom went to Paris y", "s"), (2, "x Eva Lopez went to Paris y", "s")]), spark.createDataFrame([(1, "Tom Smith went to New York")], "item_id long, text string"))
+    assert names.where("contaminated").count() == 0  # a short item is not folded to less
+
+
 def leaks_by_force(docs, items, window=8, least=4, need=3):
     """(doc, item) of consistent alignments: templates, windows, diagonals and slots once more, in plain Python."""
     from quern.llm.decontaminate import MARKS, UNITS
@@ -432,37 +448,45 @@ def leaks_by_force(docs, items, window=8, least=4, need=3):
             return low if word == word.upper() else "<name>"
         return "<num>" if "0" <= low < ":" else "<unit>" if low in UNITS else low
 
+    def forms_of(text):
+        """The words with their templates: as they are, then folded, where that is another form."""
+        plain = [(w, template(w)) for w in words(text)]
+        short = [p for k, p in enumerate(plain) if not k or (plain[k - 1][1], p[1]) not in (("<name>", "<name>"), ("<num>", "<unit>"))]
+        return [plain, short] if len(short) < len(plain) else [plain]
+
     found = set()
     for item, text in items.items():
-        iw = words(text)
-        width = window if len(iw) >= window else least
-        if len(iw) < least:
-            continue
-        it, il = [template(w) for w in iw], [w.lower() for w in iw]
-        places = range(len(iw) - width + 1)
-        formed = {p for p in places if sum(not t.startswith("<") for t in it[p : p + width]) >= width // 2}
-        enough = min(need if width == window else window, len(places))
-        for doc, dtext in docs.items():
-            dw = words(dtext)
-            dt, dl = [template(w) for w in dw], [w.lower() for w in dw]
-            hits, forms = collections.defaultdict(set), collections.defaultdict(set)
-            for pos in range(len(dw) - width + 1):
-                for p in places:
-                    if p in formed and dt[pos : pos + width] == it[p : p + width]:
-                        hits[pos - p].add(p)
-                        forms[pos - p].add(p)
-                    if dl[pos : pos + width] == il[p : p + width]:
-                        hits[pos - p].add(p)
-            for shift, own in hits.items():
-                first, last = min(own), max(own) + width - 1
-                if len(own) < enough:
-                    whole = formed <= forms[shift] and formed and shift >= 0 and len(formed) < enough and dt[shift : shift + len(iw)] == it
-                    if not whole:
+        for ifold, own_form in enumerate(forms_of(text)):
+            it, il = [t for _, t in own_form], [w.lower() for w, _ in own_form]
+            width = window if len(it) >= window else least
+            if len(it) < (window if ifold else least):
+                continue
+            places = range(len(it) - width + 1)
+            formed = {p for p in places if sum(not t.startswith("<") for t in it[p : p + width]) >= width // 2}
+            enough = min(need if width == window else window, len(places))
+            for doc, dtext in docs.items():
+                for dfold, doc_form in enumerate(forms_of(dtext)):
+                    if dfold and width < window:
                         continue
-                    first, last = 0, len(iw) - 1
-                slots = {(it[p], il[p], dl[p + shift]) for p in range(first, last + 1) if it[p].startswith("<")}
-                if len(slots) == len({x[:2] for x in slots}):
-                    found.add((doc, item))
+                    dt, dl = [t for _, t in doc_form], [w.lower() for w, _ in doc_form]
+                    hits, forms = collections.defaultdict(set), collections.defaultdict(set)
+                    for pos in range(len(dt) - width + 1):
+                        for p in places:
+                            if p in formed and dt[pos : pos + width] == it[p : p + width]:
+                                hits[pos - p].add(p)
+                                forms[pos - p].add(p)
+                            if not ifold and not dfold and dl[pos : pos + width] == il[p : p + width]:
+                                hits[pos - p].add(p)
+                    for shift, own in hits.items():
+                        first, last = min(own), max(own) + width - 1
+                        if len(own) < enough:
+                            whole = formed <= forms[shift] and formed and shift >= 0 and len(formed) < enough and dt[shift : shift + len(it)] == it
+                            if not whole:
+                                continue
+                            first, last = 0, len(it) - 1
+                        slots = {(it[p], il[p], dl[p + shift]) for p in range(first, last + 1) if it[p].startswith("<")}
+                        if len(slots) == len({x[:2] for x in slots}):
+                            found.add((doc, item))
     return found
 
 
