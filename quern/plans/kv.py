@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import kv
-from quern.plans.registry import query, shared_dir, table
+from quern.plans.registry import query, shared_dir, stored, table
 from quern.sources import table_file, wal
 
 KV = """kv AS (SELECT event_id AS seq, 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, props AS value FROM events)"""
@@ -111,7 +111,7 @@ def compaction_trigger(spark, d):
 @query(f"{GENERATIONS} SELECT u.id, l.id AS other FROM meta u JOIN meta l ON u.id % 2 = 0 AND l.id % 2 = 1 AND l.largest >= u.smallest AND l.smallest <= u.largest")
 def compaction_overlap(spark, d):
     """Even tables stand for one level, odd ones for the level below."""
-    meta = kv.flushed(log(spark, d), CAPACITY)
+    meta = stored(kv.flushed(log(spark, d), CAPACITY), "tables")
     return kv.overlaps(meta.where("id % 2 = 0"), meta.where("id % 2 = 1"))
 
 
